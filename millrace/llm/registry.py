@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat
+from .html import op2_html
 from .mixing import OP9_SQL, op9_mixing
 from .neardup import OP6_SQL, op6_near_duplicates
 from .packing import op1_packing
 from .quality import op10_quality
 from .search import OP4_SQL, op4_search
+from .substrings import OP8_SQL, op8_substrings
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_html": op2_html,
     "op3_chat": op3_chat,
     "op4_search": op4_search,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
-ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_substrings": OP8_SQL, "op9_mixing": OP9_SQL}
