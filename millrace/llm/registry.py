@@ -10,6 +10,7 @@ from .packing import op1_packing
 from .quality import op10_quality
 from .search import OP4_SQL, op4_search
 from .substrings import OP8_SQL, op8_substrings
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_search": op4_search,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
