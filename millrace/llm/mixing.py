@@ -53,6 +53,7 @@ def mix(
     max_epochs: float = 2.0,
     seed: int = 17,
     buckets: int = 4096,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document is taken: ``docs``' ``doc_id`` with ``size, source, source_size, target, copies, taken``.
 
@@ -64,10 +65,10 @@ def mix(
 
     Nulls: a null text has size 0, a null source is a source of its own (the last), a null ``doc_id`` hashes as
     an empty text. Empty tables give an empty result. Rows with the same ``doc_id`` are decided one by one,
-    smaller sizes first. Columns besides ``doc_id, text, source`` are ignored; clashing names don't matter.
+    smaller sizes first. Columns besides ``doc_id, text, source`` are ignored, unless named in ``keep``.
     """
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("order")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), hashed.alias("order")), "mix-sizes")
     sized = sized.withColumn("bucket", F.floor(F.col("order") * F.lit(buckets / 2.0**48)))
     sums = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, max_epochs)
@@ -98,10 +99,17 @@ def mix(
     return (
         plain.unionByName(sorted_ones)
         .withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", *keep, (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns stay."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    taken = mix(packed, keep=("_row",), **options).filter("copies > 0")
+    return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns over all ``documents``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

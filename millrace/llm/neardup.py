@@ -89,17 +89,29 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids``.
+def _marked(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """``docs`` with ``_hit``: false if ``doc_id`` surely isn't in ``ids``.
 
-    A bitmap of the ids' hashes, of a fixed size (1 MB at 2**23 bits, in pieces of 4 KB), goes to every executor, so that
-    few other rows are shuffled; then ids are compared. Where ids outnumber the bits it only stops helping.
+    A bitmap of the ids' hashes, of a fixed size (1 MB at 2**23 bits, in pieces of 4 KB), goes to every executor. Where ids
+    outnumber the bits it only stops helping.
     """
-    hashed: Column = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    maps = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("map"))
-    near = docs.withColumn("h", hashed).withColumn("piece", F.floor(F.col("h") / 32768)).join(F.broadcast(maps), "piece")
-    near = near.filter(F.expr("shiftright(cast(conv(hex(substring(map, cast(h % 32768 div 8 + 1 as int), 1)), 16, 10) as int), cast(h % 8 as int)) % 2 = 1"))
-    return near.drop("piece", "h", "map").join(ids.hint("merge"), "doc_id", "left_semi")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = ids.select(hashed.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("_piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("_map"))
+    near = docs.withColumn("_h", hashed).withColumn("_piece", F.floor(F.col("_h") / 32768)).join(F.broadcast(maps), "_piece", "left")
+    bit = "shiftright(cast(conv(hex(substring(_map, cast(_h % 32768 div 8 + 1 as int), 1)), 16, 10) as int), cast(_h % 8 as int)) % 2 = 1"
+    return near.withColumn("_hit", F.coalesce(F.expr(bit), F.lit(False))).drop("_piece", "_h", "_map")
+
+
+def among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids``; few others are shuffled."""
+    return _marked(docs, ids, bits).filter("_hit").drop("_hit").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is null or not in ``ids``; most of them aren't shuffled."""
+    marked = _marked(docs, ids, bits)
+    unsure = marked.filter("_hit").join(ids.hint("merge"), "doc_id", "left_anti")
+    return marked.filter("NOT _hit").unionByName(unsure).select(*docs.columns)
 
 
 def _possible(a: str, b: str, in_common: str, percent: int, slack: int = 44) -> str:

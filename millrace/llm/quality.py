@@ -113,6 +113,26 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = Tru
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, _DDL)
 
 
+def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """``docs`` without the rejected documents and without failing lines; all columns stay, ``n_chars`` follows the text."""
+    names = docs.columns
+    at = names.index("text")
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [judged(None, t, rules) for t in part.column(at).to_pylist()]
+                columns = list(part.columns)
+                columns[at] = pa.array([x[9] for x in found], part.schema.field(at).type)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([len(x[9]) if x[7] else n for x, n in zip(found, part.column(k).to_pylist(), strict=True)], part.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array([x[10] for x in found], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns over all ``documents``."""
     return clean(table(spark, sf_dir, "documents"), with_text=False).drop("clean_text")

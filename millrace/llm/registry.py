@@ -7,6 +7,7 @@ from .html import op2_html
 from .mixing import OP9_SQL, op9_mixing
 from .neardup import OP6_SQL, op6_near_duplicates
 from .packing import op1_packing
+from .privacy import op5_privacy
 from .quality import op10_quality
 from .search import OP4_SQL, op4_search
 from .substrings import OP8_SQL, op8_substrings
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html": op2_html,
     "op3_chat": op3_chat,
     "op4_search": op4_search,
+    "op5_privacy": op5_privacy,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
