@@ -39,8 +39,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], total_share: float, max_
         .withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("asked") - F.col("capped_before")) / F.col("weight_left"))
-        # the first source whose ratio is above the level it would set ends the capped ones
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything))
+        # sources from the first uncapped one on are below the levels they'd set, and these fall from there: the first is the highest
+        .withColumn("level", F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything))
         .withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))))
         .select("source", "source_size", "target")
     )
@@ -128,7 +128,7 @@ levels AS (
   SELECT *, (asked - COALESCE(sum(cap) OVER before, 0)) / (sum(weight) OVER () - COALESCE(sum(weight) OVER before, 0)) AS here
   FROM ratios WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 wanted AS (
-  SELECT source, source_size, COALESCE(least(cap, weight * min(CASE WHEN ratio >= here THEN here END) OVER ()), cap) AS target FROM levels),
+  SELECT source, source_size, COALESCE(least(cap, weight * max(CASE WHEN ratio >= here THEN here END) OVER ()), cap) AS target FROM levels),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
          target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS part FROM wanted),
