@@ -1,0 +1,173 @@
+"""The foreach operation: a body applied once for each item or row of a driver table, results appended.
+
+Where placeholders only stand for compared or filled-in values, the loop is one join with the driver table: its plan doesn't grow
+with the number of items. Otherwise each item is a branch of a union, of which there may be ``loop_limit``.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Mapping
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.errors import OperationError
+from .aggregates import aggregate
+from .base import apply, existing, listed, needed, quoted, register
+from .filters import OPERATORS, predicate
+from .joins import check_cross
+from .sets import relaxed
+
+_PLACE = re.compile(r"\{\{\s*(.+?)\s*\}\}")
+_PASS = "_pass"
+
+
+def places(value: Any) -> set[str]:
+    """Names of all placeholders in a value, also in keys of dicts."""
+    if isinstance(value, str):
+        return set(_PLACE.findall(value))
+    if isinstance(value, Mapping):
+        return set().union(*(places(k) | places(v) for k, v in value.items()))
+    return set().union(*map(places, value)) if isinstance(value, (list, tuple)) else set()
+
+
+def filled(value: Any, item: Mapping[str, Any]) -> Any:
+    """The value with placeholders replaced; one that is the whole text keeps its type."""
+    def look(name: str) -> Any:
+        if name not in item:
+            raise OperationError(f"unknown placeholder {name!r}; known: {', '.join(map(str, item))}")
+        return item[name]
+
+    if isinstance(value, str):
+        if whole := _PLACE.fullmatch(value):
+            return look(whole[1])
+        return _PLACE.sub(lambda m: str(look(m[1])), value)
+    if isinstance(value, Mapping):
+        for k, v in value.items():
+            if k in ("path", "source") and places(v):
+                raise OperationError(f"a placeholder can't stand in {k!r}")
+        return {filled(k, item): filled(v, item) for k, v in value.items()}
+    return [filled(v, item) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def _as_column(value: Any) -> Any:
+    """A value as a column of the driver, if it holds placeholders."""
+    if not isinstance(value, str) or not places(value):
+        return value
+    if whole := _PLACE.fullmatch(value):
+        return F.col(quoted(f"_key_{whole[1]}"))
+    pieces = _PLACE.split(value)
+    return F.concat(*(F.col(quoted(f"_key_{p}")).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
+
+
+def joinable(body: list) -> bool:
+    """Can the body be applied to all passes at once?"""
+    for step in body:
+        kind, params = step.get("type"), step.get("params") or {}
+        rest = dict(params)
+        if kind == "filter" and (params.get("operator") or "eq") in OPERATORS and not isinstance(params.get("value"), (list, tuple)):
+            rest.pop("value", None)
+        elif kind == "fill_null" and params.get("columns"):
+            rest["columns"] = list(params["columns"])
+        elif kind == "compute":
+            if re.search(r"\bover\b", str(params), re.IGNORECASE):
+                return False
+        elif kind == "unique":
+            if (params.get("keep") or "any") != "any":
+                return False
+        elif kind not in ("select", "drop", "rename", "cast", "group_by", "drop_nulls"):
+            return False
+        if places(rest):
+            return False
+    return True
+
+
+def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
+    keys = [f"_key_{c}" for c in driver.columns]
+    small = driver.select(*(F.col(quoted(c)).alias(k) for c, k in zip(driver.columns, keys, strict=True))).withColumn(_PASS, F.monotonically_increasing_id())
+    if not any(s["type"] == "filter" and places(s.get("params")) for s in body):
+        check_cross(df, small, context.cross_join_limit)
+    carried = [_PASS, *keys]
+    out = df.crossJoin(small)
+    for position, step in enumerate(body, 1):
+        kind, params = step["type"], step.get("params") or {}
+        own = [c for c in out.columns if c not in carried]
+        try:
+            if kind == "filter":
+                (name,) = existing(out, [needed(params, "column")])
+                value = _as_column(params.get("value"))
+                if isinstance(value, Column) and (params.get("operator") or "eq") not in ("contains", "starts_with", "ends_with"):
+                    value = value.try_cast(out.schema[name].dataType)
+                out = out.filter(predicate(out, name, params.get("operator") or "eq", value))
+            elif kind == "select":
+                out = out.select(*map(quoted, existing(out, listed(needed(params, "columns")))), *carried)
+            elif kind == "group_by":
+                made = [aggregate(a["column"], a.get("func") or "sum").alias(a.get("alias") or f"{a['column']}_{a.get('func') or 'sum'}") for a in needed(params, "aggregations")]
+                out = out.groupBy(*map(quoted, existing(out, listed(needed(params, "by")))), *carried).agg(*made)
+            elif kind == "unique":
+                out = out.dropDuplicates([*(listed(params["subset"]) if params.get("subset") else own), _PASS])
+            elif kind == "drop_nulls":
+                out = out.dropna("any", subset=listed(params["subset"]) if params.get("subset") else own)
+            elif kind == "fill_null" and params.get("columns"):
+                out = apply(out, [{"type": kind, "params": {"columns": {c: _as_column(v) for c, v in params["columns"].items()}}}], context)
+            else:
+                out = apply(out, [step], context)
+        except OperationError as e:
+            raise OperationError(f"in the loop's step {position}: {e.reason}") from e
+    return out
+
+
+@register("foreach")
+def foreach(df: DataFrame, params: dict, context) -> DataFrame:
+    """``{items: [{key: value}] | driver: source, body, add_keys_as_columns = false}``."""
+    body = list(needed(params, "body"))
+    with_keys = bool(params.get("add_keys_as_columns"))
+    items = params.get("items")
+    if params.get("driver") is not None:
+        driver, names = context.source(params["driver"]), None
+        names = driver.columns
+    else:
+        items = list(needed(params, "items"))
+        names, driver = list(items[0]), None
+        uniform = all(list(i) == names for i in items) and all(len({type(i[k]) for i in items}) == 1 for k in names)
+        if uniform and joinable(body):
+            driver = df.sparkSession.createDataFrame([tuple(i[k] for k in names) for i in items], names)
+    if unknown := {p for p in places(body) if p not in names and not any(s.get("type") == "foreach" for s in body)}:
+        raise OperationError(f"unknown placeholder {sorted(unknown)[0]!r}; known: {', '.join(names)}")
+    if driver is not None and joinable(body):
+        out = _joined(df, driver, body, context)
+        kept = out.drop(_PASS, *(() if with_keys else (f"_key_{c}" for c in names)))
+        return kept.withColumnsRenamed({f"_key_{c}": c for c in names}) if with_keys else kept
+    if items is None:
+        items = [r.asDict() for r in driver.limit(context.loop_limit + 1).collect()]
+        if not items:
+            raise OperationError("the driver has no rows")
+    if len(items) > context.loop_limit:
+        raise OperationError(f"the loop has more than {context.loop_limit} passes")
+    branches = []
+    for i, item in enumerate(items, 1):
+        context.passes += 1
+        if context.passes > context.loop_total:
+            raise OperationError(f"all loops together have more than {context.loop_total} passes")
+        try:
+            one = apply(df, filled(body, item) if not any(s.get("type") == "foreach" for s in body) else _outer(body, item), context)
+        except OperationError as e:
+            raise OperationError(f"iteration {i}/{len(items)}: {e}") from e
+        branches.append(one.withColumns({k: F.lit(v) for k, v in item.items()}) if with_keys else one)
+    return reduce(relaxed, branches)
+
+
+def _outer(body: list, item: Mapping[str, Any]) -> list:
+    """A body with nested loops: this loop's placeholders are replaced, those of inner loops stay for them."""
+
+    def fill(value: Any) -> Any:
+        if isinstance(value, str):
+            return filled(value, item) if places(value) <= set(item) else _PLACE.sub(lambda m: str(item[m[1]]) if m[1] in item else m[0], value)
+        if isinstance(value, Mapping):
+            return {fill(k): fill(v) for k, v in value.items()}
+        return [fill(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+    return fill(body)
