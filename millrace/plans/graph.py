@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 #: Edges along which data flows.
 DATA_KINDS = ("read", "publish", "write")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration, in the folder that executors share if one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
-
-
 def flow_edges(flows: DataFrame) -> DataFrame:
     """Edges from flow definitions ``(id, definition)``, JSON lists of nodes ``{type, dataset?, flow?}``; duplicates removed."""
     nodes = flows.select(F.col("id").cast("string").alias("flow"), F.explode(F.from_json("definition", "array<struct<type:string,dataset:string,flow:string>>")).alias("n"))
@@ -45,15 +42,15 @@ def reach(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> Data
 
     Breadth first: each round joins the newest nodes only with the edges, and stops when there are none, so cycles end.
     """
-    found = frontier = _stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    found = frontier = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while rounds is None or depth < rounds:
         depth += 1
         step = edges.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        frontier = _stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        found = _stored(found.union(frontier))
+        found = stored(found.union(frontier))
     return found
 
 
@@ -100,10 +97,10 @@ def tree_closure(parents: DataFrame, roots: DataFrame, up: bool = False) -> Data
 
 def layers(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """``(id, layer)``: the longest path from a root, in a bounded number of rounds, so that cycles end."""
-    current = _stored(nodes.select("id").withColumn("layer", F.lit(0)))
+    current = stored(nodes.select("id").withColumn("layer", F.lit(0)))
     for _ in range(rounds):
         offered = edges.join(current.select(F.col("id").alias("source"), "layer"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("offered"))
-        nxt = _stored(current.join(offered, "id", "left").select("id", F.greatest("layer", F.coalesce("offered", F.lit(0))).alias("layer"), (F.coalesce("offered", F.lit(0)) > F.col("layer")).alias("moved")))
+        nxt = stored(current.join(offered, "id", "left").select("id", F.greatest("layer", F.coalesce("offered", F.lit(0))).alias("layer"), (F.coalesce("offered", F.lit(0)) > F.col("layer")).alias("moved")))
         current = nxt.select("id", "layer")
         if nxt.filter("moved").isEmpty():
             break
