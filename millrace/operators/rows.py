@@ -46,7 +46,8 @@ def unique(df: DataFrame, params: dict, context=None) -> DataFrame:
         return df.dropDuplicates(names) if subset else df.distinct()
     by = [quoted(c) for c in names]
     if keep == "none":
-        return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by))).filter("_n = 1").drop("_n")
+        # counted before the shuffle: a key that most rows share is one row of each task
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*map(quoted, df.columns))).alias("_row")).filter("_n = 1").select("_row.*")
     if keep not in ("first", "last"):
         raise OperationError(f"unknown keep {keep!r}; known: any, first, last, none")
     order = needed(params, "order_by")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import running
 from ..plans import business, graph, history, preview
 from . import query, table
 
@@ -123,6 +124,11 @@ query("catalog_search", "SELECT p_partkey AS id FROM part WHERE contains(lower(p
     lambda s, d: history.search_catalog(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description")), "RE").select("id"))
 
 
+query("win_running_rows", "SELECT o_custkey, o_orderpriority, o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", running(F.count("*"), ["o_custkey"], ["o_orderpriority", "o_orderkey"]).alias("n")))
+query("run_search_total", f"SELECT count(*) AS total FROM {RUNS} WHERE status = 'failure'")(lambda s, d: history.page(history.search_runs(runs(s, d), _flows(s, d), _users(s, d), status="failure"), [F.col("id")], 0, 10)[1])
+
+
 # lineage: part -> lineitem -> orders -> customer -> nation -> region, a node for each key
 def nodes(s: SparkSession, d: str) -> DataFrame:
     of = lambda t, key, kind: table(s, d, t).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("type"))

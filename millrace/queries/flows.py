@@ -56,7 +56,7 @@ flow("distinct_all", "orders", [step("select", columns=["o_orderstatus", "o_orde
 flow("dedup_any", "orders", [step("unique", subset=["o_custkey"]), step("select", columns=["o_custkey"])], "SELECT DISTINCT o_custkey FROM orders")
 flow("dedup_first", "orders", [step("select", columns=["o_custkey", "o_orderkey", "o_totalprice"]), step("unique", subset=["o_custkey"], keep="first", order_by=["o_totalprice"])], "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_custkey, o_orderkey) = 1")
 flow("dedup_last", "orders", [step("select", columns=["o_custkey", "o_orderkey", "o_totalprice"]), step("unique", subset="o_custkey", keep="last", order_by="o_totalprice")], "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_custkey, o_orderkey) = 1")
-flow("dedup_none", "events", [step("select", columns=["user_id", "event_type"]), step("unique", keep="none")], "SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) = 1")
+flow("dedup_none", "orders", [step("select", columns=["o_custkey", "o_orderpriority"]), step("unique", keep="none")], "SELECT o_custkey, o_orderpriority FROM orders GROUP BY 1, 2 HAVING count(*) = 1")
 flow("fill_cols", "part", [_NULLS, _SHORT, step("fill_null", columns={"s": -1, "b": "none"})], f"SELECT p_partkey, COALESCE(s, -1) AS s, COALESCE(b, 'none') AS b FROM {_SQL_NULLS}")
 flow("fill_value", "part", [_NULLS, _SHORT, step("fill_null", value=0)], f"SELECT p_partkey, COALESCE(s, 0) AS s, b FROM {_SQL_NULLS}")
 flow("drop_null_rows", "part", [_NULLS, _SHORT, step("drop_nulls")], f"SELECT * FROM {_SQL_NULLS} WHERE s IS NOT NULL AND b IS NOT NULL")

@@ -45,3 +45,20 @@ def test_hourly_access_fills_empty_hours(spark):
 def test_errors(spark):
     t = spark.createDataFrame([("Killed by SIGKILL",), ("bad",), (None,)], "e string")
     assert [r[0] for r in t.select(history.error_class(F.col("e"))).collect()] == ["out_of_memory", "other", None]
+
+
+def test_storage_sizes_and_export(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "store/raw/a"))
+    spark.range(10).write.parquet(str(tmp_path / "store/out/b"))
+    spark.range(10).write.parquet(str(tmp_path / "store/else/c"))
+    found = {r["prefix"]: r["objects"] for r in history.storage_sizes(spark, str(tmp_path / "store")).collect()}
+    assert set(found) == {"raw", "out"} and all(n > 0 for n in found.values())
+    preview.export_csv(spark.range(4), str(tmp_path / "p"), str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 4
+
+
+def test_registered_queries_have_sql():
+    import __spark_entry__ as entry
+    from millrace.registry import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
