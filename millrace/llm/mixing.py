@@ -46,67 +46,67 @@ def targets(sizes: DataFrame, weights: Sequence[float], total_share: float, max_
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = (3, 1, 2),
-    total_share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: int = 17,
-    buckets: int = 4096,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """How often each document is taken: ``docs``' ``doc_id`` with ``size, source, source_size, target, copies, taken``.
+def _placed(docs: DataFrame, seed: int) -> tuple[Column, Column]:
+    """The size of a document and its place in its source: a seeded 48-bit hash of its id, or of its text without one."""
+    known = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return word_count(F.col("text")), F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), known)), 1, 12), 16, 10).cast("long")
 
-    A source with target / size = 1.37 takes all its documents once and documents with 37 % of its words once
-    more. These are the first in the order of a seeded hash, up to the document that brings the sum nearest to
-    the target: whole documents, so a source misses its target by half a document at most. The order isn't
-    sorted as a whole: words are summed by ``buckets`` ranges of the hash (summed before the shuffle, so that a
-    source with a third of all rows is no hot key), and only the range in which the sum is reached is sorted.
 
-    Nulls: a null text has size 0, a null source is a source of its own (the last), a null ``doc_id`` hashes as
-    an empty text. Empty tables give an empty result. Rows with the same ``doc_id`` are decided one by one,
-    smaller sizes first. Columns besides ``doc_id, text, source`` are ignored, unless named in ``keep``.
+def cuts(sized: DataFrame, weights: Sequence[float], total_share: float, max_epochs: float, buckets: int) -> DataFrame:
+    """One row per source: ``target``, whole repetitions, and ``last``, the last place that is taken once more.
+
+    Words are summed by ``buckets`` ranges of the place (before the shuffle, so that a source with a third of all rows is no
+    hot key), and only the range in which the wanted sum is reached is sorted.
     """
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
-    sized = stored(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), hashed.alias("order")), "mix-sizes")
-    sized = sized.withColumn("bucket", F.floor(F.col("order") * F.lit(buckets / 2.0**48)))
+    width = 2**48 // buckets
+    sized = sized.withColumn("bucket", F.floor(F.col("place") / width))
     sums = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, max_epochs)
-    wanted = (
-        wanted.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("whole", F.floor("epochs"))
-        .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
+    wanted = wanted.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0).cast("long")))
+    wanted = stored(wanted.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
     running = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    reached = (
-        sums.withColumn("words_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        .join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "bucket", "words_before", "words", "source_size", "target", "whole", "part")
-    )
     # one row for each source and range: small beside the documents, but joined by key, for it grows with the sources
-    joined = sized.alias("d").join(
-        reached.withColumnsRenamed({"source": "s", "bucket": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
-    )
-    inside = (F.col("words_before") < F.col("part")) & (F.col("words_before") + F.col("words") > F.col("part"))
-    plain = joined.filter(~inside).withColumn("extra", F.when(F.col("words_before") + F.col("words") <= F.col("part"), 1).otherwise(0))
-    within = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    sorted_ones = (
-        joined.filter(inside)
-        .withColumn("at", F.col("words_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("extra", F.when(F.col("at") + F.col("size") / 2 <= F.col("part"), 1).otherwise(0))
-        .drop("at")
-    )
-    return (
-        plain.unionByName(sorted_ones)
-        .withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", *keep, (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    reached = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).join(wanted.select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    below = reached.filter("before + words <= part").select("source", F.struct(((F.col("bucket") + 1) * width - 1).alias("place"), F.lit(2**63 - 1).alias("doc_id")).alias("last"))
+    inside = reached.filter("before < part AND before + words > part").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "part")
+    within = W.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    edge = sized.join(inside, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    edge = edge.filter(F.col("at") + F.col("size") / 2 <= F.col("part")).select("source", F.struct("place", "doc_id").alias("last"))
+    last = below.unionByName(edge).groupBy(F.col("source").alias("s")).agg(F.max("last").alias("last"))
+    return stored(wanted.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cuts")
+
+
+def _copies(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """``copies`` of each row. Spark broadcasts the cuts if they're below its limit of size, else joins by source."""
+    joined = sized.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    more = (F.col("part") > 0) & F.col("last").isNotNull() & (F.struct("place", "doc_id") <= F.col("last"))
+    return joined.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0))
+
 
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096) -> DataFrame:
+    """How often each document is taken: ``docs``' ``doc_id`` with ``source, size, source_size, target, copies, taken``.
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; all columns stay."""
-    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    taken = mix(packed, keep=("_row",), **options).filter("copies > 0")
+    A source with target / size = 1.37 takes all its documents once and documents with 37 % of its words once
+    more. These are the first in the order of a seeded hash, up to the document that brings the sum nearest to
+    the target: whole documents, so a source misses its target by half a document at most.
+
+    Nulls: a null text has size 0, a null source is a source of its own (the last), a null ``doc_id`` is placed by its text.
+    Empty tables give an empty result. Rows with the same ``doc_id`` are taken together. Columns besides ``doc_id, text,
+    source`` are ignored. Very long texts are counted in place. No text is shuffled.
+    """
+    size, place = _placed(docs, seed)
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), place.alias("place")), "mix-sizes")
+    out = _copies(sized, cuts(sized, weights, total_share, max_epochs, buckets))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, buckets: int = 4096) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns stay. The texts are read twice and not shuffled."""
+    size, place = _placed(docs, seed)
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    sized = stored(docs.select(key, "source", size.alias("size"), place.alias("place")), "mix-sizes")
+    cut = cuts(sized, weights, total_share, max_epochs, buckets)
+    taken = _copies(docs.select(key, "source", place.alias("place"), F.struct(*docs.columns).alias("_row")), cut).filter("copies > 0")
     return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
 
 
