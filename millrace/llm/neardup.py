@@ -150,8 +150,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(sketches(read, k, percent), "sketches")
     real = sig.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member_of = stored(real.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "classes")
+    # stored, so that both sides of the join are plain exchanges and Spark can split a digest with very many copies
+    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
+    member_of = stored(real.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep"), "classes")
     reps = stored(real.join(member_of.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "keys", "bits"), "representatives")
 
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
