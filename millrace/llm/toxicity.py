@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, vocabulary: int
         def rows() -> Iterator[tuple]:
             for text, toxic in rows_of(batches):
                 bags = ({index[f] for w in _WORD.findall(s) for f in features_of(w) if f in index} for _, _, s in sentences_of(text.lower()))
-                yield toxic, [sorted(b) for b in bags if b][:1000]
+                yield toxic, [sorted(b) for b in bags if b]
 
         yield from in_batches(rows(), schema)
 
