@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, rows_of, table
+from .common import in_batches, rows_of, stored, table
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|select|title|svg|iframe|object)\b[^>]*(?:(?<=/)>|>.*?</\1\s*>|>.*|$)"
@@ -172,8 +172,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFra
     1. Every page's subtrees are hashed and counted per host, once a page; counts are summed before the shuffle.
     2. Subtrees found on at least ``min_pages`` and on ``share`` of a host's pages are its template. A host has at most
        ``1 / share`` times as many as one of its pages has subtrees, so they fit in one row whatever the host's size.
-    3. Pages are joined with their host's row, and texts extracted without these subtrees. The join is by the host's
-       hash; Spark splits the partition of a host with very many pages.
+    3. Pages are joined with their host's row by the host's hash, and texts extracted without these subtrees.
 
     Menus, footers, forms and the like are left out by element and by words of class, id and role too.
     Nulls: a null html is empty and gives an empty text; pages without host are one host. Repeated rows are pages of their
@@ -193,6 +192,8 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFra
     counts = read.select("host", "html").mapInArrow(count, "host long, hash long, counted long").groupBy("host", "hash").agg(F.sum("counted").alias("n")).filter(F.col("n") >= min_pages)
     of_host = counts.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
     template = counts.filter("hash IS NOT NULL").join(of_host, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    # stored: where the table is small Spark broadcasts it and no page is shuffled; else it can split a host with very many pages
+    template = stored(template, "templates")
     joined = read.join(template.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "template")
     out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
