@@ -7,23 +7,42 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import covered, in_batches, rows_of, table, window_hashes, word_hashes, words_of
 
 
-def anchors(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``k``-word edges, and for each window the place of its smallest edge (the leftmost of equals).
+def anchors(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k``-word edges, and the runs of windows with the same anchor (the smallest edge in a window): starts and anchors.
 
-    Equal windows have equal smallest edges, so a window can only be repeated if its anchor is.
+    Equal windows have equal anchors, so a window can only be repeated if its anchor is.
     """
-    edges = window_hashes(hashes, k)
-    span = window - k + 1
+    edges = smallest = window_hashes(hashes, k)
+    span, reach = window - k + 1, 1
     if len(edges) < span:
-        return edges, np.zeros(0, np.int64)
-    return edges, sliding_window_view(edges, span).argmin(1) + np.arange(len(edges) - span + 1)
+        return edges, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    while reach < span:  # minima of ever longer stretches, by overlapping two
+        step = min(reach, span - reach)
+        smallest = np.minimum(smallest[: len(smallest) - step], smallest[step:])
+        reach += step
+    starts = np.concatenate([[0], np.flatnonzero(smallest[1:] != smallest[:-1]) + 1])
+    return edges, starts, smallest[starts]
+
+
+def repeated_here(edges: np.ndarray, starts: np.ndarray, found: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a text, and whether each stands at two places of it.
+
+    It does if it has two runs, or stands twice in the edges that a run covers (always, if a run is longer than one place can
+    serve).
+    """
+    lengths = np.diff(np.append(starts, len(edges) - span + 1))
+    distinct, back, runs = np.unique(found, return_inverse=True, return_counts=True)
+    places = starts[:, None] + np.arange(2 * span - 1)
+    here = (edges[np.minimum(places, len(edges) - 1)] == found[:, None]) & (places < (starts + lengths + span - 1)[:, None])
+    twice = runs > 1
+    twice[back[(lengths > span) | (here.sum(1) > 1)]] = True
+    return distinct, twice
 
 
 def _longs(x: np.ndarray) -> np.ndarray:
@@ -56,45 +75,41 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     texts take about 50 bytes a word. Empty tables give an empty result. Other columns are ignored.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    firsts = read.filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    named, nameless = read.filter("doc_id IS NOT NULL"), read.filter("doc_id IS NULL")
+    firsts = named.filter("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
     firsts = firsts.select("doc_id", F.lit(True).alias("first")).distinct()
-    placed = read.join(firsts.hint("merge"), "doc_id", "left")
-
-    def prepared(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        words = words_of(text)
-        hashes = word_hashes(words)
-        return (words, hashes, *anchors(hashes, window, k))
+    placed = named.join(firsts.hint("merge"), "doc_id", "left")
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in rows_of(batches):
-            _, _, edges, at = prepared(text)
-            if len(at):
-                found, counts = np.unique(edges[np.unique(at)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_longs(found)), pa.array(np.full(len(found), doc_id)), pa.array(np.minimum(counts, 2))], names=["anchor", "doc_id", "n"])
+            edges, starts, found = anchors(word_hashes(words_of(text)), window, k)
+            if len(found):
+                found, twice = repeated_here(edges, starts, found, window - k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(_longs(found)), pa.array(np.full(len(found), doc_id)), pa.array(1 + twice.astype(np.int64))], names=["anchor", "doc_id", "n"])
 
     once = placed.filter("first").select("doc_id", "text").mapInArrow(name, "anchor long, doc_id long, n long")
     once = once.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
     once = once.groupBy("doc_id").agg(F.collect_list("anchor").alias("once"))
     known = placed.join(once.hint("merge"), "doc_id", "left")
 
-    def repeatable(edges: np.ndarray, at: np.ndarray, once: list | None, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def repeatable(hashes: np.ndarray, once: list | None) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows whose anchor isn't known to occur once."""
-        places = np.unique(at)
-        often = places[~np.isin(_longs(edges[places]), np.asarray(once if once is not None else [], np.int64))]
-        flags = np.zeros(len(edges), bool)
-        flags[often] = True
-        starts = np.flatnonzero(flags[at])
+        edges, at, found = anchors(hashes, window, k)
+        often = ~np.isin(_longs(found), np.asarray(once if once is not None else [], np.int64))
+        if not often.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.repeat(often, np.diff(np.append(at, len(edges) - (window - k)))))
         return starts, _longs(window_hashes(hashes, window)[starts])
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, once in rows_of(batches):
-            _, hashes, edges, at = prepared(text)
-            if len(at) and len(found := np.unique(repeatable(edges, at, once, hashes)[1])):
+            if len(found := np.unique(repeatable(word_hashes(words_of(text)), once)[1])):
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc_id))], names=["window", "doc_id"])
 
     told = known.filter("first").select("doc_id", "text", "once").mapInArrow(send, "window long, doc_id long")
     told = told.groupBy("window").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("window").alias("here"))
     final = known.join(told.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "once", "here")
+    final = final.unionByName(nameless, allowMissingColumns=True)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +121,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
                     if not first:
                         gone = np.ones(n, bool)
                     else:
-                        hashes = word_hashes(words)
-                        starts, found = repeatable(*anchors(hashes, window, k), once, hashes)
+                        starts, found = repeatable(word_hashes(words), once)
                         second = np.ones(len(found), bool)
                         second[np.unique(found, return_index=True)[1]] = False
                         told_here = np.isin(found, np.asarray(here if here is not None else [], np.int64))
