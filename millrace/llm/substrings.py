@@ -74,7 +74,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     document for the order between documents: each is judged by itself, and neither removes from the other. Very long
     texts take about 50 bytes a word. Empty tables give an empty result. Other columns are ignored.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # no cast where none is needed: an alias would make exchanges differ that are otherwise the same and used again
+    read = docs.select("doc_id" if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     named, nameless = read.filter("doc_id IS NOT NULL"), read.filter("doc_id IS NULL")
     firsts = named.filter("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
     firsts = firsts.select("doc_id", F.lit(True).alias("first")).distinct()
