@@ -146,27 +146,35 @@ def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: i
 
     Nobody labels spans here, so what announces a candidate does: words before it (``password=``, ``phone:``) or the fixed
     beginning of a service's key make it positive. The trees see format and nearby characters only, and so learn what such values look like without an
-    announcement. On the half of the sample kept for calibration, each kind gets the lowest threshold that reaches
-    ``precision``; without one, nothing unannounced of that kind is taken.
+    announcement. The thresholds are measured on all candidates but those the trees were fitted on, each class of a kind weighed
+    back to its count in the whole table: each kind gets the lowest threshold that reaches ``precision`` at the table's own
+    ratio; without one, or without candidates left to measure it on, nothing unannounced of that kind is taken.
     """
-    rows = found.select("doc_id", F.explode("loose").alias("c")).select("doc_id", "c.*").withColumn("order", F.xxhash64("doc_id", "kind", "start"))
-    rows = stored(rows.filter("announced = 1").orderBy("order").limit(sample).unionByName(rows.filter("announced = 0").orderBy("order").limit(sample)), "privacy-sample")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    learn, check = vectors.filter("order % 2 = 0"), vectors.filter("order % 2 <> 0")
+    every = found.select("doc_id", F.explode("loose").alias("c")).select("doc_id", "c.*").withColumn("order", F.xxhash64("doc_id", "kind", "start"))
+    rows = stored(every.filter("announced = 1").orderBy("order").limit(sample).unionByName(every.filter("announced = 0").orderBy("order").limit(sample)), "privacy-sample")
+    learn = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).filter("order % 2 = 0")
     if learn.select("announced").distinct().count() < 2:
         return Judge([], {k: float("inf") for k in LOOSE})
     model = GBTClassifier(labelCol="announced", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=11).fit(learn)
     judge = Judge([(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
-    scored = check.withColumn("margin", F.round(judge.margin(F.struct(*FEATURES)), 3)).groupBy("kind", "margin").agg(F.sum("announced").alias("good"), F.count("*").alias("n"))
+    last = {r["announced"]: r["last"] for r in rows.groupBy("announced").agg(F.max("order").alias("last")).collect()}
+    unseen = (F.col("order") % 2 != 0) | (F.col("order") > F.when(F.col("announced") > 0, last[1.0]).otherwise(last[0.0]))
+    is_good, n = F.col("announced") > 0, lambda c: F.count(F.when(c, 1))
+    sums = {"good": n(is_good & unseen), "bad": n(~is_good & unseen), "all_good": n(is_good), "all_bad": n(~is_good)}
+    scored = every.withColumn("margin", F.round(judge.margin(F.struct(*FEATURES)), 3)).groupBy("kind", "margin").agg(*(c.alias(k) for k, c in sums.items()))
     by_kind: dict[str, list] = {k: [] for k in LOOSE}
     for r in scored.collect():  # at most one row for each combination of leaves
-        by_kind[r["kind"]].append((r["margin"], r["good"], r["n"]))
+        by_kind[r["kind"]].append((r["margin"], *(r[k] for k in sums)))
     for kind, levels in by_kind.items():
-        good = total = 0.0
         judge.thresholds[kind] = float("inf")
-        for margin, g, n in sorted(levels, reverse=True):
-            good, total = good + g, total + n
-            if total >= 5 and good >= precision * total and margin > 0:
+        left_good, left_bad, all_good, all_bad = (sum(level[i] for level in levels) for i in range(1, 5))
+        if not left_good or all_bad and not left_bad:
+            continue
+        good = bad = 0
+        for margin, g, b, *_ in sorted(levels, reverse=True):
+            good, bad = good + g, bad + b
+            whole, wrong = good * all_good / left_good, bad * all_bad / max(left_bad, 1)
+            if good + bad >= 5 and whole >= precision * (whole + wrong) and margin > 0:
                 judge.thresholds[kind] = float(margin) - 5e-4
     return judge
 

@@ -200,6 +200,18 @@ def test_privacy(spark):
     assert privacy.find(frame(spark, [])).count() == 0
 
 
+def test_privacy_thresholds_hold_at_the_ratio_of_all_candidates(spark):
+    """Long values: all announced and a twentieth of the others, so 0.95 at 1:1 but 0.67 at the table's 1:10."""
+    n, announced = 4400, F.col("id") % 11 == 0
+    long = announced | (F.col("id") % 20 == 7)
+    values = {f: F.lit(0.0) for f in privacy.FEATURES} | {"chars": F.when(long, 20.0).otherwise(8.0), "is_secret": F.lit(1.0)}
+    one = F.struct(F.lit("secret").alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("end"), announced.cast("double").alias("announced"), *(v.alias(k) for k, v in values.items()))
+    found = spark.range(n).select(F.col("id").alias("doc_id"), F.array(one).alias("loose"))
+    for size in (200, 20000):
+        assert privacy.fit(found, sample=size, rounds=3).thresholds["secret"] == float("inf")
+        assert privacy.fit(found, sample=size, rounds=3, precision=0.6).thresholds["secret"] < float("inf")
+
+
 def test_toxicity(spark):
     import random
 
