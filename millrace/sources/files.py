@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,14 +53,15 @@ def read_csv(
     path: str,
     separator: str = ",",
     has_header: bool = True,
-    infer_rows: int | None = 10_000,
+    infer_rows: int | None = None,
     null_values: Sequence[str] = ("",),
     encoding: str = "utf8",
     try_parse_dates: bool = True,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """CSV files. Types are inferred from the first ``infer_rows`` lines (None: all; 0: strings only).
+    """CSV files. Types are inferred from all rows, or from any ``infer_rows`` of them (0: strings only).
 
+    After a bounded inference a value that doesn't fit its column's type fails the read, rather than being lost.
     Columns of ``types`` are read as text and cast. Each of ``null_values`` reads as null.
     """
     types = dict(types or {})
@@ -73,9 +74,23 @@ def read_csv(
     kinds = {n: type_of(t) for n, t in types.items()}
     if unknown := [n for n in kinds if n not in names]:
         raise OperationError(f"unknown column {unknown[0]!r}")
-    if infer_rows != 0:
-        kinds = _inferred(text.limit(infer_rows) if infer_rows else text, [n for n in names if n not in kinds], try_parse_dates) | kinds
-    return text.withColumns({n: F.col(f"`{n}`").try_cast(t) for n, t in kinds.items()})
+    if infer_rows == 0:
+        return text.withColumns({n: F.col(f"`{n}`").try_cast(t) for n, t in kinds.items()})
+    inferred = _inferred(text.limit(infer_rows) if infer_rows else text, [n for n in names if n not in kinds], try_parse_dates)
+
+    def checked(n: str, t: T.DataType) -> Column:
+        message = F.concat(F.lit(f"column {n!r} was inferred as {t.simpleString()} from {infer_rows} rows, but holds "), F.col(f"`{n}`"))
+        return F.when(_misfit(n, t), F.raise_error(message)).otherwise(F.col(f"`{n}`").try_cast(t))
+
+    cast = {n: checked(n, t) if infer_rows else F.col(f"`{n}`").try_cast(t) for n, t in inferred.items()}
+    return text.withColumns(cast | {n: F.col(f"`{n}`").try_cast(t) for n, t in kinds.items()})
+
+
+def _misfit(n: str, t: T.DataType) -> Column:
+    """Does the text not convert to the type, or only with a loss? A cast to a date ignores what follows the day."""
+    value = F.col(f"`{n}`")
+    bad = value.try_cast(t).isNull()
+    return value.isNotNull() & (bad | F.rlike(F.trim(value), F.lit(r"[\sT]")) if isinstance(t, T.DateType) else bad)
 
 
 def _inferred(text: DataFrame, names: Sequence[str], dates: bool) -> dict[str, T.DataType]:
@@ -83,16 +98,11 @@ def _inferred(text: DataFrame, names: Sequence[str], dates: bool) -> dict[str, T
     tried = [T.LongType(), T.DoubleType(), T.BooleanType(), *([T.DateType(), T.TimestampNTZType()] if dates else [])]
     if not names:
         return {}
-    fits = [F.count(F.when(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast(t).isNull(), 1)).alias(f"{i}_{j}") for i, n in enumerate(names) for j, t in enumerate(tried)]
+    fits = [F.count(F.when(_misfit(n, t), 1)).alias(f"{i}_{j}") for i, n in enumerate(names) for j, t in enumerate(tried)]
     full = [F.count(f"`{n}`").alias(f"n_{i}") for i, n in enumerate(names)]
     found = text.agg(*fits, *full).first()
     of = lambda i: next((t for j, t in enumerate(tried) if found[f"{i}_{j}"] == 0), T.StringType()) if found[f"n_{i}"] else T.StringType()
-    # a date fits a timestamp too, but a timestamp cast to a date would lose its time: prefer the type that keeps all
-    kinds = {n: of(i) for i, n in enumerate(names)}
-    for i, n in enumerate(names):
-        if isinstance(kinds[n], T.DateType) and text.filter(F.length(f"`{n}`") > 10).limit(1).count():
-            kinds[n] = T.TimestampNTZType()
-    return kinds
+    return {n: of(i) for i, n in enumerate(names)}
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
