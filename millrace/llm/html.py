@@ -18,7 +18,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: One attribute: a whole name, with its quoted or bare value if it has one.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _TOKENS = re.compile(r"[a-z]+")
 
 #: Elements that begin and end blocks of text; all others are inline and don't split a block.
@@ -57,6 +59,8 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
+        if name not in _TELLING:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or not _OUT_WORDS.isdisjoint(_TOKENS.findall(value)):
             return True
     return False

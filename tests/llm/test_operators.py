@@ -258,6 +258,13 @@ def test_html(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_attributes():
+    for kept in ('style="overflow:hidden"', "style='overflow-x: hidden'", 'title="Hidden gems"', 'data-x="a hidden" data-id="share"', 'data-role=menu', "title='class=\"nav\"'", "data-a=id=share"):
+        assert pages.main_text(f"<article {kept}><h2 {kept}>A</h2><p>text</p></article>", frozenset()) == "A\ntext", kept
+    for out in ("hidden", 'HIDDEN=""', 'title="" hidden', "class = 'x nav'", "id=share", 'role="menu"', "aria-hidden=true", 'data-x="a>b"id=share'):
+        assert pages.main_text(f"<article><div {out}>A</div><p>text</p></article>", frozenset()) == "text", out
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_window_hashes(seed):
     from millrace.llm.common import covered, window_hashes
