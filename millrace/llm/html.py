@@ -28,7 +28,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Blocks that are part of an article's text even where they recur.
+#: Blocks that are part of an article's text unless they recur on most pages.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main".split())
 #: Elements that hold no main text, and words of class, id and role that say so.
 _OUT = frozenset("nav footer aside form menu dialog head button search".split())
@@ -126,8 +126,8 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
 
 
 def removable(node: Node) -> bool:
-    """May the node be template? Not what is left out anyway, nor paragraphs of an article."""
-    return node.parent is not None and not node.out and node.chars > 0 and not (node.inside and node.tag in _TEXT) and node.tag != "body"
+    """May the node be template? Not what is left out anyway, nor the page itself."""
+    return node.parent is not None and not node.out and node.chars > 0 and node.tag != "body"
 
 
 def _main(nodes: list[Node], root: Node) -> Node:
@@ -148,21 +148,29 @@ def _within(node: Node | None, tag: str) -> bool:
     return False
 
 
-def main_text(html: str, template: frozenset[int]) -> str:
-    """The page's main text, blocks joined by line feeds, without the subtrees whose hashes are in ``template``.
+def main_text(html: str, template: frozenset[int], often: frozenset[int] = frozenset()) -> str:
+    """The page's main text, blocks joined by line feeds, without the subtrees whose hashes are in ``template`` or ``often``.
 
-    A subtree with more than half of the page's text is kept: it's what the page is about, even if copies of it exist.
+    Paragraphs and the like of an article go only if they are in ``often``, what recurs on most pages. Template goes however
+    long it is beside the page's own text; a page with nothing else is a copy of others, and keeps its text.
     """
     root, nodes = parsed(html)
-    top, blocks = _main(nodes, root), []
-    stack: list = [top]
-    while stack:
-        part = stack.pop()
-        if isinstance(part, str):
-            blocks.append(part)
-        elif part is top or not (part.out or part.tag == "article" and top.tag == "article" or part.hash in template and removable(part) and 2 * part.chars <= top.chars):
-            stack.extend(reversed(part.parts))
-    return "\n".join(blocks)
+    top = _main(nodes, root)
+
+    def gone(x: Node) -> bool:
+        return (x.hash in often or x.hash in template and not (x.inside and x.tag in _TEXT)) and removable(x)
+
+    def blocks(whole: bool) -> list[str]:
+        found, stack = [], [top]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, str):
+                found.append(part)
+            elif part is top or not (part.out or part.tag == "article" and top.tag == "article" or not whole and gone(part)):
+                stack.extend(reversed(part.parts))
+        return found
+
+    return "\n".join(blocks(False) or blocks(True))
 
 
 def host_of(url) -> object:
@@ -170,39 +178,59 @@ def host_of(url) -> object:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFrame:
+def section_of(url) -> object:
+    """The first folder of a url's path, empty for pages that are in none."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
+def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5, many: int = 20, low: float = 0.02) -> DataFrame:
     """``(page_id, url, text)``: the main text of every page.
 
-    1. Every page's subtrees are hashed and counted per host, once a page; counts are summed before the shuffle.
-    2. Subtrees found on at least ``min_pages`` and on ``share`` of a host's pages are its template. A host has at most
-       ``1 / share`` times as many as one of its pages has subtrees, so they fit in one row whatever the host's size.
-    3. Pages are joined with their host's row by the host's hash, and texts extracted without these subtrees.
+    1. Every page's subtrees are hashed and counted per host and per section (first folder) of a host, once a page; counts are
+       summed before the shuffle.
+    2. Template is what is found on ``share`` of a host's pages and on ``min_pages``, or on ``share`` of a section's and on
+       ``many``; and, but for paragraphs and the like of an article, what is found on ``many`` pages and on ``low`` of the
+       host's or section's, so that each of a large host's layouts has its own. A host has at most ``1 / low`` times as many
+       as one of its pages has subtrees, so they fit in one row whatever the host's size.
+    3. Pages are joined with the rows of their host and section by hash, and texts extracted without these subtrees.
 
     Menus, footers, forms and the like are left out by element and by words of class, id and role too.
     Nulls: a null html is empty and gives an empty text; pages without host are one host. Repeated rows are pages of their
     own. Very long pages are parsed whole. Empty tables give an empty result. Other columns are ignored.
     """
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"))
-    counted_schema = pa.schema([("host", pa.int64()), ("hash", pa.int64()), ("counted", pa.int64())])
+    host, section = host_of(F.col("url")), section_of(F.col("url"))
+    places = F.xxhash64(host).alias("host"), F.xxhash64(host, F.lit("/"), section).alias("section")
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *places)
+    counted_schema = pa.schema([("place", pa.int64()), ("is_host", pa.bool_()), ("hash", pa.int64()), ("counted", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for host, html in rows_of(batches):
-                yield host, None, 1
-                yield from ((host, h - (1 << 63), 1) for h in {x.hash for x in parsed(html or "")[1] if removable(x)})
+            for host, section, html in rows_of(batches):
+                hashes = [None, *(h - (1 << 63) for h in {x.hash for x in parsed(html or "")[1] if removable(x)})]
+                yield from ((host, True, h, 1) for h in hashes)
+                yield from ((section, False, h, 1) for h in hashes)
 
         yield from in_batches(rows(), counted_schema, 8192)
 
-    counts = read.select("host", "html").mapInArrow(count, "host long, hash long, counted long").groupBy("host", "hash").agg(F.sum("counted").alias("n")).filter(F.col("n") >= min_pages)
-    of_host = counts.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
-    template = counts.filter("hash IS NOT NULL").join(of_host, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    counts = read.select("host", "section", "html").mapInArrow(count, "place long, is_host boolean, hash long, counted long")
+    counts = counts.groupBy("place", "is_host", "hash").agg(F.sum("counted").alias("n")).filter(F.col("n") >= min(min_pages, many))
+    of_place = counts.filter("hash IS NULL").select("place", "is_host", F.col("n").alias("pages"))
+    most = (F.col("n") >= share * F.col("pages")) & (F.col("n") >= F.when(F.col("is_host"), min_pages).otherwise(many))
+    some = (F.col("n") >= many) & (F.col("n") >= low * F.col("pages"))
+    found = counts.filter("hash IS NOT NULL").join(of_place, ["place", "is_host"]).filter(most | some)
+    template = found.groupBy("place", "is_host").agg(F.collect_list(F.when(most, F.col("hash"))).alias("often"), F.collect_list(F.when(~most, F.col("hash"))).alias("template"))
     # stored: where the table is small Spark broadcasts it and no page is shuffled; else it can split a host with very many pages
     template = stored(template, "templates")
-    joined = read.join(template.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "template")
+    joined = read
+    for place, is_host in (("host", "is_host"), ("section", "NOT is_host")):
+        of = template.filter(is_host).select(F.col("place").alias(f"{place}_place"), F.col("often").alias(f"{place}_often"), F.col("template").alias(f"{place}_template"))
+        joined = joined.join(of, F.col(place) == F.col(f"{place}_place"), "left")
+    joined = joined.select("page_id", "url", "html", "host_template", "section_template", "host_often", "section_often")
     out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, u, main_text(h or "", frozenset(x + (1 << 63) for x in t or ()))) for i, u, h, t in rows_of(batches))
+        both = lambda a, b: frozenset(x + (1 << 63) for part in (a, b) for x in part or ())
+        rows = ((i, u, main_text(h or "", both(a, b), both(c, d))) for i, u, h, a, b, c, d in rows_of(batches))
         yield from in_batches(rows, out_schema, 512)
 
     return joined.mapInArrow(strip, "page_id long, url string, text string")

@@ -258,6 +258,22 @@ def test_html(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_of_layouts_and_articles(spark):
+    """Three layouts of one host, the third in a folder of its own; a notice in every main part, longer than most texts."""
+    notice = "This notice stands on every page of the host and is longer than what some pages say."
+    rows = []
+    for i in range(120):
+        layout = i % 3
+        note = "<p>promo of shop</p>" if layout == 2 else ""
+        rows.append((i, f"http://h.example/{'shop/' if layout == 2 else ''}{i}", f"<main><p>{notice}</p>{note}<div><b>block of layout {layout}</b></div><p>own {i}</p></main>"))
+    rows += [(200 + i, f"http://copies.example/{i}", "<main><h1>One</h1><p>and the same</p></main>") for i in range(5)]
+    rows += [(300 + i, f"http://h2.example/{i}", f"<article><p>quoted by few</p><p>own {i}</p></article>" if i < 30 else f"<article><p>own {i}</p></article>") for i in range(90)]
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"own {i}" for i in range(120))
+    assert all(found[200 + i] == "One\nand the same" for i in range(5))
+    assert found[300] == "quoted by few\nown 0" and found[389] == "own 89"
+
+
 def test_html_attributes():
     for kept in ('style="overflow:hidden"', "style='overflow-x: hidden'", 'title="Hidden gems"', 'data-x="a hidden" data-id="share"', 'data-role=menu', "title='class=\"nav\"'", "data-a=id=share"):
         assert pages.main_text(f"<article {kept}><h2 {kept}>A</h2><p>text</p></article>", frozenset()) == "A\ntext", kept
