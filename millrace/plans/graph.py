@@ -95,10 +95,10 @@ def tree_closure(parents: DataFrame, roots: DataFrame, up: bool = False) -> Data
     return reach(links.select(F.col(a).alias("source"), F.col(b).alias("target")), roots)
 
 
-def layers(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(id, layer)``: the longest path from a root, in a bounded number of rounds, so that cycles end."""
+def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(id, layer)``: the longest path from a root, in at most as many rounds as there are nodes (or ``rounds``), so that cycles end."""
     current = stored(nodes.select("id").withColumn("layer", F.lit(0)))
-    for _ in range(rounds):
+    for _ in range(current.count() if rounds is None else rounds):
         offered = edges.join(current.select(F.col("id").alias("source"), "layer"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("offered"))
         nxt = stored(current.join(offered, "id", "left").select("id", F.greatest("layer", F.coalesce("offered", F.lit(0))).alias("layer"), (F.coalesce("offered", F.lit(0)) > F.col("layer")).alias("moved")))
         current = nxt.select("id", "layer")

@@ -24,6 +24,11 @@ def test_reach_ends_in_cycles(spark):
         graph.neighbourhood(edges, seed, "both", 9)
 
 
+def test_layers_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(54)], "source long, target long")
+    assert {r["id"]: r["layer"] for r in graph.layers(edges, spark.range(55)).collect()} == {i: i for i in range(55)}
+
+
 def test_validity_keeps_facts_without_range(spark):
     facts = spark.createDataFrame([(1, 5), (1, 50), (2, 5)], "k long, t long")
     ranges = spark.createDataFrame([(1, 0, 10, "a"), (1, 40, None, "b")], "k long, valid_from long, valid_to long, v string")
