@@ -22,18 +22,26 @@ BASE = {
 }
 #: How the keys of well-known services begin.
 KEYS = r"(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[baprs]-|AIza|eyJ)"
+#: An announcing word and what stands between it and its value.
+_WORD = r"(?i:passw(?:or)?d|passwort|passphrase|pwd|secret|token|(?:api|access|private)[_-]?key|auth|credentials?)"
+_BEFORE_VALUE = "(?:" + _WORD + r"[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}|(?i:bearer)\x20)[\"']?"
 #: Generators of further candidates: they find too much, the trees decide.
 LOOSE = {
     "secret": r"(?<![A-Za-z0-9_+/=-])(?:" + KEYS + r"[A-Za-z0-9_+/=.-]{11,}[A-Za-z0-9_=-]|(?:[A-Za-z_]++=)?[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/=-]{7,})",
     "email_loose": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
     "phone_loose": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
     "id_number": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{9,19})(?![0-9A-Za-z-])",
+    "value": _BEFORE_VALUE + r"[^\s\"']*[^\s\"'.,;)\]}>]",
+    "letters": r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z_+/=-]{16,}+(?![0-9@])",
 }
+#: Kinds whose spans are secrets too, and the base formats that two kinds are loose forms of.
+_SECRET = ("value", "letters")
+_FORM_OF = {"email_loose": "email", "phone_loose": "phone"}
 #: What must occur in a text for a pattern to be tried at all.
 _NEEDS = {"email": "@", "phone": "+"}
 #: Words before a candidate that announce personal data or a credential; they make the training labels.
 ANNOUNCED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|ssn|iban|passport|account|phone|tel|mobile|call|e-?mail|contact)\W{0,6}$"
-FEATURES = ["chars", "digits", "uppers", "lowers", "others", "hex_only", "switches", "distinct", "before_quote", "after_quote", "mixed_case", *(f"is_{k}" for k in LOOSE)]
+FEATURES = ["chars", "digits", "uppers", "lowers", "others", "hex_only", "switches", "distinct", "before_quote", "after_quote", "mixed_case", "case_changes", *(f"is_{k}" for k in LOOSE)]
 
 
 def _each(matched: Column, pieces: Column) -> Column:
@@ -73,7 +81,8 @@ def _valid(kind: str, m: Column) -> Column:
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, *keep, base, loose)``: checked base spans, and candidates with the features the trees use.
 
-    The looser candidates don't overlap base spans or, within a kind, each other.
+    The looser candidates may overlap or contain base spans, but none lies within one; within a kind they don't overlap.
+    A loose email or phone that overlaps a base one is the same value with more words, and left out.
     """
     read = docs.select("doc_id", *(c for c in keep if c not in ("doc_id", "text")), F.coalesce("text", F.lit("")).alias("text"))
     raw = read.select("*", *(_matches(p, _NEEDS.get(k)).alias(f"m_{k}") for k, p in BASE.items()), *(_matches(p, None).alias(f"m_{k}") for k, p in LOOSE.items()))
@@ -90,8 +99,23 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     typed = typed.withColumn("base", F.concat(*(f"b_{k}" for k in BASE)))
 
     def described(kind: str) -> Column:
-        """Candidates of a kind off the base spans, with format and context features."""
-        apart = F.filter(f"l_{kind}", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        """Candidates of a kind that aren't within base spans, with format and context features."""
+        all_of = F.col(f"l_{kind}")
+        if kind == "value":  # only the value, not what announces it
+
+            def value(m: Column) -> Column:
+                skip = F.length(F.regexp_extract(m["text"], "^" + _BEFORE_VALUE, 0))
+                return F.struct((m["start"] + skip).alias("start"), m["end"].alias("end"), F.substring(m["text"], skip + 1, F.lit(2**31 - 1)).alias("text"))
+
+            all_of = F.transform(all_of, value)
+        if kind == "letters":
+            all_of = F.filter(all_of, lambda m: F.size(F.array_distinct(F.split(m["text"], ""))) >= 8)
+
+        def known(m: Column, b: Column) -> Column:
+            within = (b["start"] <= m["start"]) & (m["end"] <= b["end"])
+            return within | (b["kind"] == _FORM_OF[kind]) & (b["start"] < m["end"]) & (m["start"] < b["end"]) if kind in _FORM_OF else within
+
+        apart = F.filter(all_of, lambda m: ~F.exists("base", lambda b: known(m, b)))
 
         def struct(m: Column) -> Column:
             t, before, after = m["text"], F.substring(F.col("text"), F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24))), F.substring(F.col("text"), m["end"] + 1, F.lit(1))
@@ -102,9 +126,14 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 "hex_only": F.rlike(t, F.lit("^(?:[A-Za-z_]+=)?[0-9a-f]+$")).cast("double"), "switches": count("[0-9][A-Za-z]|[A-Za-z][0-9]") / n,
                 "distinct": F.size(F.array_distinct(F.split(t, ""))).cast("double"), "before_quote": F.rlike(before, F.lit("[\"'=:]$")).cast("double"),
                 "after_quote": after.isin('"', "'").cast("double"), "mixed_case": (F.rlike(t, F.lit("[a-z]")) & F.rlike(t, F.lit("[A-Z]"))).cast("double"),
+                "case_changes": count("[a-z][A-Z]|[A-Z][a-z]") / n,
             }
             values |= {f"is_{k}": F.lit(float(k == kind)) for k in LOOSE}
             announced = F.rlike(before, F.lit(ANNOUNCED)) | F.rlike(t, F.lit(r"(?i)^(?:passw(?:or)?d|pwd|secret|token|key)=|(?-i)^" + KEYS + "[A-Za-z0-9_+/=.-]{12}"))
+            if kind == "value":  # a plain word after a colon may go on a sentence
+                announced = F.rlike(before, F.lit(r"=>?\s{0,3}[\"']?$")) | F.rlike(t, F.lit("[a-z][A-Z]|[A-Z]{2}|[0-9]|[^A-Za-z'-]"))
+            if kind == "letters":
+                announced = announced & F.rlike(before, F.lit(r"[:=]\W{0,4}$"))
             return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), announced.cast("double").alias("announced"), *(v.alias(k) for k, v in values.items()))
 
         return F.transform(apart, struct)
@@ -180,12 +209,15 @@ def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: i
 
 
 def chosen(judge: Judge) -> Column:
-    """``array<struct<kind, start, end>>``: base spans and accepted candidates; of overlapping ones the first kind stays."""
+    """``array<struct<kind, start, end>>``: base spans and accepted candidates, which may overlap; of one within another the outer stays."""
     taken = F.transform(F.filter("loose", judge.accepts), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     kind = F.array(*(F.lit(k) for k in LOOSE))
     rank = lambda c: F.array_position(kind, c["kind"])
-    alone = F.filter(taken, lambda c: ~F.exists(taken, lambda d: (rank(d) < rank(c)) & (d["start"] < c["end"]) & (c["start"] < d["end"])))
-    return F.concat("base", alone)
+    same = lambda c, d: (d["start"] == c["start"]) & (d["end"] == c["end"])
+    within = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (~same(c, d) | (rank(d) < rank(c)))
+    alone = F.filter(taken, lambda c: ~F.exists(taken, lambda d: within(c, d)))
+    named = F.transform(alone, lambda c: F.struct(F.when(c["kind"].isin(*_SECRET), "secret").otherwise(c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return F.concat("base", named)
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = (), judge: Judge | None = None) -> DataFrame:
@@ -200,13 +232,13 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), judge: Judge | None = None
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in square brackets; of overlapping spans the one that begins first."""
+    """The text with each span replaced by its kind in square brackets; overlapping spans are one, of the kind that begins first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["far"]).alias("at"), put.alias("out")))
+        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], -s["far"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct((-s["far"]).alias("at"), put.alias("out")))
 
     return F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1) - acc["at"])))
 

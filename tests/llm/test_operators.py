@@ -200,6 +200,18 @@ def test_privacy(spark):
     assert privacy.find(frame(spark, [])).count() == 0
 
 
+def test_privacy_values_and_overlaps(spark):
+    texts = {
+        "set password=hunter2 now": "set password=[SECRET] now", "pwd=Secret99, ok": "pwd=[SECRET], ok", "password: Tr0ub4dor&3.": "password: [SECRET].", 'token = "qwMzkXjvBhtPlrSn"': 'token = "[SECRET]"',
+        "api_key: Zk+12345678abQ/xyz end": "api_key: [SECRET] end", "key ghp_Ab4111111111111111Zz end": "key [SECRET] end", "mail a@b.co. Then more": "mail [EMAIL]. Then more", "the password: none was set": "the password: none was set",
+    }
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in privacy.redact(frame(spark, rows)).collect()}
+    assert {t: got[i] for i, t in rows} == texts
+    spans = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in (("card", 2, 5), ("secret", 4, 9))))
+    assert spark.range(1).select(privacy.redacted(F.lit("0123456789"), spans)).first()[0] == "01[CARD]9"
+
+
 def test_privacy_thresholds_hold_at_the_ratio_of_all_candidates(spark):
     """Long values: all announced and a twentieth of the others, so 0.95 at 1:1 but 0.67 at the table's 1:10."""
     n, announced = 4400, F.col("id") % 11 == 0
