@@ -173,8 +173,29 @@ def test_search(spark):
 def test_search_bound_holds():
     rng = np.random.default_rng(2)
     x, y = rng.normal(3, 5, (50, 32)), rng.normal(-1, 2, (50, 32))
-    for s in (1, 4, 16):
-        assert (search.segment_statistics(x, s) @ search.segment_statistics(y, s).T >= x @ y.T - 1e-6).all()
+    turn = search.rotation(x)
+    assert np.allclose(turn @ turn.T, np.eye(32)) and np.allclose(search.haar(8) @ search.haar(8).T, np.eye(8))
+    for u, v in ((x, y), (x @ turn, y @ turn)):
+        for s in (1, 4, 16):
+            assert (search.segment_statistics(u, s) @ search.segment_statistics(v, s).T >= x @ y.T - 1e-6).all()
+
+
+def test_search_prunes_coarse_to_fine():
+    """Vectors near a few directions, and the worst case, directions without any structure: bounds leave few, or some, pairs out."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(0, 1, (3000, 6)) @ rng.normal(0, 1, (6, 64)) + rng.normal(0, 0.2, (3000, 64))
+    even = rng.normal(0, 1, (3000, 64))
+    for x, first, last in ((near, 0.9, 0.05), (even, 1.0, 0.9)):
+        c = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+        ids, q = np.arange(len(c)), c[::50]
+        found, alive = search.search_block(ids[::50], q, np.full(len(q), -(2**62)), ids, c, search.rotation(search.padded(c[:500])), 5)
+        share = np.array(alive) / alive[0]
+        assert (np.diff(share) <= 0).all() and share[3] <= first and share[-1] <= last
+        scores = q @ c.T
+        scores[np.arange(len(q)), ids[::50]] = -(2**62)
+        for i, (own, rows, given) in enumerate(found):
+            best = np.lexsort((ids, -scores[i]))[:5]
+            assert (own == ids[::50][i]).all() and rows.tolist() == best.tolist() and given.tolist() == scores[i, best].tolist()
 
 
 def test_privacy(spark):
