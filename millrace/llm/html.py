@@ -1,4 +1,4 @@
-"""Main text of web pages: element subtrees that recur across a host's pages are its template and are deleted."""
+"""Main text of web pages: element subtrees that recur across a host's pages, by content or by place, are its template and are deleted."""
 
 from __future__ import annotations
 
@@ -42,34 +42,42 @@ _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
 
 
 class Node:
-    """A block element: its place, what it holds, and a hash of its subtree."""
+    """A block element: where it stands, what it holds, and a hash of its subtree.
 
-    __slots__ = ("tag", "parent", "out", "inside", "parts", "chars", "hash")
+    ``path`` hashes its tag, class and id words and those of the elements around it; ``place`` adds whether its text is links.
+    """
+
+    __slots__ = ("tag", "parent", "out", "inside", "parts", "chars", "whole", "linked", "hash", "path", "place")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool) -> None:
+    def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool, label: str) -> None:
         self.tag, self.parent, self.out, self.inside = tag, parent, out, inside
         self.parts: list = []  # texts and nodes, in page order
-        self.chars = self.hash = 0
+        self.chars = self.whole = self.linked = self.hash = self.place = 0
+        self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0} {tag} {label}".encode("utf-8", "surrogatepass"))
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _OUT or tag == "header" and not inside:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+def _described(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Is the element left out by its tag or words, and its class and id words (digits apart, which often count something)."""
+    out, label = tag in _OUT or tag == "header" and not inside, []
+    if not attributes.strip():
+        return out, ""
+    whole = tag in ("html", "body", "main")
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name not in _TELLING:
             continue
-        if name == "hidden" or name == "aria-hidden" and value == "true" or not _OUT_WORDS.isdisjoint(_TOKENS.findall(value)):
-            return True
-    return False
+        words = _TOKENS.findall(value)
+        if name in ("class", "id"):
+            label += words
+        if not whole and (name == "hidden" or name == "aria-hidden" and value == "true" or not _OUT_WORDS.isdisjoint(words)):
+            out = True
+    return out, " ".join(label)
 
 
 def parsed(html: str) -> tuple[Node, list[Node]]:
     """The page's tree of block elements and all its nodes, children after parents."""
-    root = Node("html", None, False, False)
-    at, nodes, text, last = root, [root], [], 0
+    root = Node("html", None, False, False, "")
+    at, nodes, text, last, link = root, [root], [], 0, False
 
     def flush() -> None:
         if text:
@@ -80,6 +88,8 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
     for m in _TOKEN.finditer(html):
         if m.start() > last:
             text.append(html[last : m.start()])
+            if link:
+                at.linked += len(text[-1].strip())
         last = m.end()
         tag = m[3]
         if tag is None:
@@ -89,6 +99,7 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
             text.append(" ")
             continue
         if tag not in _BLOCKS or tag == "html":
+            link = link if tag != "a" else not m[2]
             continue
         flush()
         if m[2]:
@@ -103,7 +114,8 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
             at = at.parent
         if tag == "hr":
             continue
-        node = Node(tag, at, at.out or _left_out(tag, m[4], at.inside), at.inside or tag in ("article", "main"))
+        out, label = _described(tag, m[4], at.inside)
+        node = Node(tag, at, at.out or out, at.inside or tag in ("article", "main"), label)
         at.parts.append(node)
         nodes.append(node)
         if not m[4].rstrip().endswith("/"):
@@ -116,18 +128,45 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len(part)
+                node.whole += len(part)
                 digest.update(part.encode("utf-8", "surrogatepass"))
                 digest.update(b"\0")
             else:
-                node.chars += 0 if part.out else part.chars
+                node.chars += 0 if part.out and not node.out else part.chars
+                node.whole += part.whole
+                node.linked += part.linked
                 digest.update(part.hash.to_bytes(8, "little"))
         node.hash = digest.intdigest()
+        node.place = xxhash.xxh3_64_intdigest(b"%d %d" % (node.path, 5 * node.linked >= 4 * node.whole))
     return root, nodes
 
 
 def removable(node: Node) -> bool:
-    """May the node be template? Not what is left out anyway, nor the page itself."""
-    return node.parent is not None and not node.out and node.chars > 0 and node.tag != "body"
+    """May the node be template by its content? Any subtree with text, but the page itself."""
+    return node.parent is not None and node.whole > 0 and node.tag != "body"
+
+
+def movable(node: Node) -> bool:
+    """May the node be template by its place? Containers, not paragraphs and the like, and nothing of an article."""
+    return removable(node) and not node.inside and node.tag not in _TEXT
+
+
+def main_chain(root: Node) -> list[Node]:
+    """From the page down to the last element that holds more than half of its parent's text."""
+    chain = [root]
+    while True:
+        below = [x for x in chain[-1].parts if not isinstance(x, str) and 2 * x.whole > chain[-1].whole]
+        if not below or chain[-1].tag in ("article", "main"):
+            return chain
+        chain.append(below[0])
+
+
+def beside(root: Node) -> tuple[set[int], set[int]]:
+    """Places beside the main chain (menus, adverts and footers, whatever they say) and places on it."""
+    chain = main_chain(root)
+    on = {x.place for x in chain}
+    off = {x.place for top in chain[:-1] for x in top.parts if not isinstance(x, str) and movable(x)}
+    return off - on, on
 
 
 def _main(nodes: list[Node], root: Node) -> Node:
@@ -148,29 +187,51 @@ def _within(node: Node | None, tag: str) -> bool:
     return False
 
 
-def main_text(html: str, template: frozenset[int], often: frozenset[int] = frozenset()) -> str:
-    """The page's main text, blocks joined by line feeds, without the subtrees whose hashes are in ``template`` or ``often``.
+def main_text(html: str, template: frozenset[int], often: frozenset[int] = frozenset(), places: frozenset[int] = frozenset()) -> str:
+    """The page's main text, blocks joined by line feeds, without the subtrees whose hashes are in ``template`` or ``often`` and
+    without what stands in ``places``.
 
-    Paragraphs and the like of an article go only if they are in ``often``, what recurs on most pages. Template goes however
-    long it is beside the page's own text; a page with nothing else is a copy of others, and keeps its text.
+    Template goes first, wherever it is; the article is looked for in what remains, and element rules leave out the rest that
+    isn't main text. Paragraphs and the like of an article go only if they are in ``often``, what recurs on most pages. Template
+    goes however long it is beside the page's own text; a page with nothing else is a copy of others, and keeps its text.
     """
     root, nodes = parsed(html)
-    top = _main(nodes, root)
+    holding = set()
+    for x in nodes:
+        if x.tag in ("article", "main"):
+            up = x
+            while up is not None and id(up) not in holding:
+                holding.add(id(up))
+                up = up.parent
 
     def gone(x: Node) -> bool:
+        if x.place in places and movable(x) and id(x) not in holding:
+            return True
         return (x.hash in often or x.hash in template and not (x.inside and x.tag in _TEXT)) and removable(x)
 
-    def blocks(whole: bool) -> list[str]:
+    deleted = {id(x) for x in nodes if gone(x)} if template or often or places else set()
+
+    def blocks(gone: set[int]) -> list[str]:
+        left = [x for x in nodes if not _in(x, gone)] if gone else nodes
+        top = _main(left, root)
         found, stack = [], [top]
         while stack:
             part = stack.pop()
             if isinstance(part, str):
                 found.append(part)
-            elif part is top or not (part.out or part.tag == "article" and top.tag == "article" or not whole and gone(part)):
+            elif part is top or not (part.out or part.tag == "article" and top.tag == "article" or id(part) in gone):
                 stack.extend(reversed(part.parts))
         return found
 
-    return "\n".join(blocks(False) or blocks(True))
+    return "\n".join(blocks(deleted) or blocks(set()))
+
+
+def _in(node: Node | None, deleted: set[int]) -> bool:
+    while node is not None:
+        if id(node) in deleted:
+            return True
+        node = node.parent
+    return False
 
 
 def host_of(url) -> object:
@@ -186,51 +247,63 @@ def section_of(url) -> object:
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5, many: int = 20, low: float = 0.02) -> DataFrame:
     """``(page_id, url, text)``: the main text of every page.
 
-    1. Every page's subtrees are hashed and counted per host and per section (first folder) of a host, once a page; counts are
-       summed before the shuffle.
+    1. Every page's subtrees, menus and footers included, are hashed and counted per host and per section (first folder) of a
+       host, once a page: by their content, and, beside the element that holds most of a page, by their place (tags, class and id
+       words, text of links or not), for adverts and footers that say something else on each page. Counts are summed before the
+       shuffle and stored.
     2. Template is what is found on ``share`` of a host's pages and on ``min_pages``, or on ``share`` of a section's and on
-       ``many``; and, but for paragraphs and the like of an article, what is found on ``many`` pages and on ``low`` of the
-       host's or section's, so that each of a large host's layouts has its own. A host has at most ``1 / low`` times as many
-       as one of its pages has subtrees, so they fit in one row whatever the host's size.
-    3. Pages are joined with the rows of their host and section by hash, and texts extracted without these subtrees.
+       ``many``; and, but for paragraphs and the like of an article, content found on ``many`` pages and on ``low`` of the
+       host's or section's, so that each of a large host's layouts has its own. A place must besides hold most of a page's text
+       hardly ever. A host has at most ``1 / low`` times as many as one of its pages has subtrees, so they fit in one row
+       whatever the host's size.
+    3. Pages are joined with the rows of their host and section by hash, parsed again, and texts extracted without these subtrees.
 
-    Menus, footers, forms and the like are left out by element and by words of class, id and role too.
+    Menus, footers, forms and the like that no count finds are left out by element and by words of class, id and role.
     Nulls: a null html is empty and gives an empty text; pages without host are one host. Repeated rows are pages of their
     own. Very long pages are parsed whole. Empty tables give an empty result. Other columns are ignored.
     """
     host, section = host_of(F.col("url")), section_of(F.col("url"))
     places = F.xxhash64(host).alias("host"), F.xxhash64(host, F.lit("/"), section).alias("section")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *places)
-    counted_schema = pa.schema([("place", pa.int64()), ("is_host", pa.bool_()), ("hash", pa.int64()), ("counted", pa.int64())])
+    counted_schema = pa.schema([("place", pa.int64()), ("is_host", pa.bool_()), ("hash", pa.int64()), ("kind", pa.int8()), ("counted", pa.int64()), ("central", pa.int64())])
+    CONTENT, PLACE = 0, 1
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for host, section, html in rows_of(batches):
-                hashes = [None, *(h - (1 << 63) for h in {x.hash for x in parsed(html or "")[1] if removable(x)})]
-                yield from ((host, True, h, 1) for h in hashes)
-                yield from ((section, False, h, 1) for h in hashes)
+                root, nodes = parsed(html or "")
+                off, on = beside(root)
+                found = [(None, CONTENT, 1, 0), *((h, CONTENT, 1, 0) for h in {x.hash for x in nodes if removable(x)}), *((h, PLACE, 1, 0) for h in off), *((h, PLACE, 0, 1) for h in on)]
+                for h, *rest in found:
+                    h = h if h is None else h - (1 << 63)
+                    yield host, True, h, *rest
+                    yield section, False, h, *rest
 
         yield from in_batches(rows(), counted_schema, 8192)
 
-    counts = read.select("host", "section", "html").mapInArrow(count, "place long, is_host boolean, hash long, counted long")
-    counts = counts.groupBy("place", "is_host", "hash").agg(F.sum("counted").alias("n")).filter(F.col("n") >= min(min_pages, many))
+    counts = read.select("host", "section", "html").mapInArrow(count, "place long, is_host boolean, hash long, kind byte, counted long, central long")
+    counts = counts.groupBy("place", "is_host", "hash", "kind").agg(F.sum("counted").alias("n"), F.sum("central").alias("central")).filter(F.col("n") >= min(min_pages, many))
+    counts = stored(counts, "subtree-counts")
     of_place = counts.filter("hash IS NULL").select("place", "is_host", F.col("n").alias("pages"))
     most = (F.col("n") >= share * F.col("pages")) & (F.col("n") >= F.when(F.col("is_host"), min_pages).otherwise(many))
     some = (F.col("n") >= many) & (F.col("n") >= low * F.col("pages"))
-    found = counts.filter("hash IS NOT NULL").join(of_place, ["place", "is_host"]).filter(most | some)
-    template = found.groupBy("place", "is_host").agg(F.collect_list(F.when(most, F.col("hash"))).alias("often"), F.collect_list(F.when(~most, F.col("hash"))).alias("template"))
+    found = counts.filter("hash IS NOT NULL").join(of_place, ["place", "is_host"])
+    placed = most & (F.col("kind") == PLACE) & (F.col("central") <= 0.05 * F.col("n"))
+    by_content = F.col("kind") == CONTENT
+    picked = {"often": by_content & most, "template": by_content & some & ~most, "places": placed}
+    template = found.filter(by_content & (most | some) | placed).groupBy("place", "is_host").agg(*(F.collect_list(F.when(c, F.col("hash"))).alias(k) for k, c in picked.items()))
     # stored: where the table is small Spark broadcasts it and no page is shuffled; else it can split a host with very many pages
     template = stored(template, "templates")
     joined = read
     for place, is_host in (("host", "is_host"), ("section", "NOT is_host")):
-        of = template.filter(is_host).select(F.col("place").alias(f"{place}_place"), F.col("often").alias(f"{place}_often"), F.col("template").alias(f"{place}_template"))
+        of = template.filter(is_host).select(F.col("place").alias(f"{place}_place"), *(F.col(k).alias(f"{place}_{k}") for k in picked))
         joined = joined.join(of, F.col(place) == F.col(f"{place}_place"), "left")
-    joined = joined.select("page_id", "url", "html", "host_template", "section_template", "host_often", "section_often")
+    joined = joined.select("page_id", "url", "html", *(f"{place}_{k}" for k in ("template", "often", "places") for place in ("host", "section")))
     out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = lambda a, b: frozenset(x + (1 << 63) for part in (a, b) for x in part or ())
-        rows = ((i, u, main_text(h or "", both(a, b), both(c, d))) for i, u, h, a, b, c, d in rows_of(batches))
+        rows = ((i, u, main_text(h or "", both(*t[:2]), both(*t[2:4]), both(*t[4:]))) for i, u, h, *t in rows_of(batches))
         yield from in_batches(rows, out_schema, 512)
 
     return joined.mapInArrow(strip, "page_id long, url string, text string")

@@ -307,6 +307,30 @@ def test_html_template_of_layouts_and_articles(spark):
     assert found[300] == "quoted by few\nown 0" and found[389] == "own 89"
 
 
+def test_html_templates_found_by_counting_alone(spark):
+    """No element or word of the rules: menus by links, blurbs and tails that say something else on every page by their place."""
+    import random
+
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + str(rng.randrange(10**6)) for _ in range(n))
+    rows, own = [], {}
+    for i in range(40):
+        own[i] = [said(rng.randint(20, 90)) for _ in range(rng.randint(1, 6))]
+        top = "".join(f"<span><a href='/{x}'>{x}</a></span>" for x in said(5).split())
+        body = "".join(f"<div class=para{k}>{p}</div>" for k, p in enumerate(own[i]))
+        rows.append((i, "http://soup.example/x", f"<body><div id=top{i}>{top}</div><div class=blurb>{said(8)}</div><div class=story>{body}</div><div class=tail>&copy; {said(6)}</div></body>"))
+    rows.append((99, "http://alone.example/x", "<body><div class=blurb>one page</div><div class=story>of its host</div></body>"))
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == "\n".join(own[i]) for i in own) and found[99] == "one page\nof its host"
+
+
+def test_html_of_very_long_pages(spark):
+    text = "<article>" + "".join(f"<div><p>word {k} &amp; more</p></div>" for k in range(20000)) + "<b>" * 3000 + "<div>" * 3000 + "deep</article>"
+    found = pages.extract(spark.createDataFrame([(1, "http://l.example/1", text), (2, "http://l.example/2", "<" * 50000), (3, "http://l.example/3", "<a b='" * 3000)], "page_id long, url string, html string")).collect()
+    first = next(r["text"] for r in found if r["page_id"] == 1)
+    assert len(found) == 3 and first.startswith("word 0 & more\nword 1 & more") and first.endswith("deep") and first.count("\n") == 20000
+
+
 def test_html_attributes():
     for kept in ('style="overflow:hidden"', "style='overflow-x: hidden'", 'title="Hidden gems"', 'data-x="a hidden" data-id="share"', 'data-role=menu', "title='class=\"nav\"'", "data-a=id=share"):
         assert pages.main_text(f"<article {kept}><h2 {kept}>A</h2><p>text</p></article>", frozenset()) == "A\ntext", kept
