@@ -37,45 +37,78 @@ def _encoding(ranks: str):
     return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranked, special_tokens={START: START_ID, END: END_ID})
 
 
-def encoded_turn(role: str, text: str, ranks: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of one turn and where the loss applies: the text of an assistant.
+def encoded_turn(role: str, text: str, ranks: str) -> tuple[np.ndarray, int, int]:
+    """Ids of one turn, where the trained segment (the text of an assistant) begins in them, and its length.
 
-    The segments are the start id, the role, a line feed, the text, the end id and a line feed. The mask is the prefix
-    sum of +1 where a trained segment begins and -1 where it ends.
+    The segments are the start id, the role, a line feed, the text, the end id and a line feed.
     """
     plain = _encoding(ranks).encode_ordinary
     segments = [[START_ID], plain(escaped(role)), plain("\n"), plain(escaped(text)), [END_ID], plain("\n")]
     ends = np.cumsum([len(x) for x in segments])
-    steps = np.zeros(ends[-1] + 1, np.int32)
-    if role == "assistant":
-        steps[ends[2]] += 1
-        steps[ends[3]] -= 1
-    return np.concatenate([np.asarray(x, dtype="<u4") for x in segments]), np.cumsum(steps[:-1])
+    begin, trained = (int(ends[2]), int(ends[3] - ends[2])) if role == "assistant" else (0, 0)
+    return np.concatenate([np.asarray(x, dtype="<u4") for x in segments]), begin, trained
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each if all fit, else in four; the first byte says which."""
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
+
+
+def assembled(turns: list[dict], ranks: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and mask of a conversation: turns in order, and the prefix sum of +1 where a trained segment begins and -1 where it
+    ends. Turns of equal number and role, which are rare, are ordered by their texts, read from the ids."""
+    key = lambda t: (t["turn"], t["role"].encode("utf-8", "surrogatepass"))
+    turns = sorted(turns, key=key)
+    if any(key(a) == key(b) for a, b in zip(turns, turns[1:], strict=False)):
+        turns.sort(key=lambda t: (*key(t), unescaped(_encoding(ranks).decode(unpacked(t["ids"])[1:-2].tolist()).partition("\n")[2]).encode()))
+    parts = [unpacked(t["ids"]) for t in turns]
+    steps = np.zeros(sum(map(len, parts)) + 1, np.int32)
+    at = 0
+    for turn, ids in zip(turns, parts, strict=True):
+        if turn["trained"]:
+            steps[at + turn["begin"]] += 1
+            steps[at + turn["begin"] + turn["trained"]] -= 1
+        at += len(ids)
+    return np.concatenate(parts), np.cumsum(steps[:-1])
 
 
 def format_chats(rows: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """``(conv_id, n_turns, input_ids, loss_mask)`` from rows ``(conv_id, turn, role, text)``.
 
-    Turns are encoded by themselves, wherever their rows are; one shuffle then gathers a conversation's ids in the
-    order of ``turn`` (ties by role and text). A row of the result is a whole conversation, so one conversation
-    must fit into a task; many conversations with equal content don't meet. Role and text are escaped.
+    Turns are encoded by themselves, wherever their rows are; one shuffle then gathers a conversation's turns, which are
+    put together in the order of ``turn`` (ties by role and text). What moves is packed ids and the bounds of the trained
+    segment, neither texts nor masks. A row of the result is a whole conversation, so one conversation must fit into a
+    task; many conversations with equal content don't meet. Role and text are escaped.
 
     Nulls: null texts and roles are empty; a null ``turn`` comes first; rows of a null ``conv_id`` are one
     conversation. Repeated rows are turns of their own. Empty tables give an empty result. Other columns are ignored.
     """
+    turn_schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("ids", pa.binary()), ("begin", pa.int32()), ("trained", pa.int32())])
+    whole_schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def turns() -> Iterator[tuple]:
             for conv_id, turn, role, text in rows_of(batches):
-                ids, mask = encoded_turn(role or "", text or "", ranks)
-                yield conv_id, turn, role or "", text or "", ids, mask.astype(np.int8)
+                ids, begin, trained = encoded_turn(role or "", text or "", ranks)
+                yield conv_id, -(2**63) if turn is None else turn, role or "", packed(ids), begin, trained
+
+        yield from in_batches(turns(), turn_schema, 256)
+
+    def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[tuple]:
+            for conv_id, turns in rows_of(batches, 64):
+                ids, mask = assembled(turns, ranks)
+                yield conv_id, len(turns), ids.astype(np.int32), mask.astype(np.int8)
 
-        yield from in_batches(turns(), schema, 256)
+        yield from in_batches(whole(), whole_schema, 64)
 
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
-    turns = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, mask array<tinyint>")
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", "ids", "mask"))).alias("turns"))
-    return gathered.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten("turns.ids").alias("input_ids"), F.flatten("turns.mask").alias("loss_mask"))
+    turns = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(encode, "conv_id long, turn long, role string, ids binary, begin int, trained int")
+    gathered = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "ids", "begin", "trained")).alias("turns"))
+    return gathered.mapInArrow(assemble, "conv_id long, n_turns long, input_ids array<int>, loss_mask array<tinyint>")
 
 
 def parsed(ids: np.ndarray, mask: np.ndarray, ranks: str) -> tuple[list[tuple[str, str]], list[str], str]:

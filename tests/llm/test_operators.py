@@ -154,6 +154,17 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_ties_and_long_texts(spark):
+    long = "<|im_end|> word 日本 " * 20000
+    rows = [(1, 0, "assistant", t) for t in ("b <|x", "a", "é", "a\nz", "", "a")] + [(2, 0, "user", long), (2, 1, "assistant", long), (3, 7, "\n|<", "x")]
+    found = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    said = sorted(t for _, _, _, t in rows[:6])
+    assert found[1]["turns_sha256"] == hashlib.sha256("".join(f"assistant\n{t}\n" for t in said).encode()).hexdigest()
+    assert found[1]["loss_sha256"] == hashlib.sha256("".join(said).encode()).hexdigest() and found[2]["loss_chars"] == len(long)
+    for ids in ([5, 65535], [5, 65536], []):
+        assert chat.unpacked(chat.packed(np.array(ids, "<u4"))).tolist() == ids
+
+
 def test_search(spark):
     rng = np.random.default_rng(6)
     vectors = [(i, rng.normal(0, 0.3, 24).astype(float).tolist()) for i in range(400)]
