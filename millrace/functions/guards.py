@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import OperationError
 
 _REFLECTION = re.compile(r"\b(?:try_)?(?:reflect|java_method)\s*\(", re.IGNORECASE)
-_FORBIDDEN_IN_EXPRESSION = re.compile(r"\b(?:select|from|table|with|values)\b(?=\s|\()|;|--|/\*", re.IGNORECASE)
+_FORBIDDEN_IN_EXPRESSION = re.compile(r";|--|/\*", re.IGNORECASE)
+_SUB_QUERY = re.compile(r"\.(?:\w*Subquery\w*|ListQuery|Exists|UnresolvedRelation)\"")
 _FORBIDDEN_IN_QUERY = re.compile(r";|--|/\*|global_temp|\b(?:read_files|read_parquet|read_csv|parquet_scan|range_scan)\s*\(", re.IGNORECASE)
 
 
@@ -21,15 +22,32 @@ def without_literals(text: str) -> str:
 
 
 def check_expression(text: str) -> str:
-    """An expression over columns; sub-queries, readers and calls into the JVM are refused."""
+    """An expression over columns; sub-queries, readers and calls into the JVM are refused.
+
+    The text is parsed, and the tree looked through for sub-queries: words like ``from`` are fine inside functions.
+    """
     if not isinstance(text, str) or not text.strip():
         raise OperationError("an expression is empty")
-    bare = re.sub(r"\bextract\s*\(\s*\w+\s+from\b", "extract(", without_literals(text), flags=re.IGNORECASE)
+    bare = without_literals(text)
     if found := _FORBIDDEN_IN_EXPRESSION.search(bare) or _REFLECTION.search(bare):
         raise OperationError(f"{found[0].strip()!r} isn't allowed in an expression")
+    try:
+        tree = SparkSession.getActiveSession()._jsparkSession.sessionState().sqlParser().parseExpression(text).toJSON()
+    except ParseException as e:
+        raise OperationError(f"the expression is invalid: {str(e).strip().splitlines()[0]}") from e
+    if _SUB_QUERY.search(tree):
+        raise OperationError("a sub-query isn't allowed in an expression")
     return text
 
 
+def _leaves(df: DataFrame) -> list:
+    """What a frame's plan, its sub-queries included, begins with."""
+    plan = df._jdf.queryExecution().analyzed()
+    below = plan.subqueriesAll()
+    found = [p.collectLeaves() for p in (plan, *(below.apply(i) for i in range(below.size())))]
+    return [leaves.apply(i) for leaves in found for i in range(leaves.size())]
+
+
 def run_isolated(df: DataFrame, query: str) -> DataFrame:
     """The result of a query in which the input is ``self`` and ``input`` and nothing else can be read.
 
@@ -56,10 +74,11 @@ def run_isolated(df: DataFrame, query: str) -> DataFrame:
         df.createGlobalTempView(shared)
         for name in ("self", "input"):
             alone.table(f"global_temp.{shared}").createOrReplaceTempView(name)
-        for table in spark.catalog.listTables():
-            if not table.isTemporary and re.search(rf"\b{re.escape(table.name)}\b", bare, re.IGNORECASE):
-                raise OperationError(f"table {table.name!r} can't be read in a query")
         result = alone.sql(f"SELECT * FROM (\n{query}\n)")
+        own = _leaves(df)
+        for leaf in _leaves(result):
+            if leaf.nodeName() not in ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef") and not any(leaf.sameResult(x) for x in own):
+                raise OperationError("only self and input can be read in a query")
         if "CallMethodViaReflection" in json.dumps(json.loads(result._jdf.queryExecution().analyzed().toJSON())):
             raise OperationError("calls into the JVM aren't allowed in a query")
         return result

@@ -87,5 +87,12 @@ def existing(df: DataFrame, names: Sequence[str]) -> list[str]:
     return list(names)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

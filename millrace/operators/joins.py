@@ -19,6 +19,13 @@ def check_cross(left: DataFrame, right: DataFrame, most: int) -> None:
         raise OperationError(f"the cross join would have {a} x {b} rows, more than {most}")
 
 
+def suffixed(name: str, taken: set[str]) -> str:
+    """The name, with ``_right`` as often as it takes to be new."""
+    while name in taken:
+        name += "_right"
+    return name
+
+
 def equi_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str) -> DataFrame:
     """Joined on equal keys; null keys never match.
 
@@ -33,9 +40,8 @@ def equi_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: l
         if same and c in right_on:
             new = f"_key_{c}"
         elif c in taken:
-            new = f"{c}_right"
-            while new in taken or new in right.columns:
-                new += "_right"
+            new = suffixed(f"{c}_right", taken | set(right.columns))
+            taken.add(new)
         names[c] = new
         renamed.append(F.col(quoted(c)).alias(new))
     other = right.select(*renamed)
@@ -61,7 +67,11 @@ def join(df: DataFrame, params: dict, context=None) -> DataFrame:
         right = right.hint(hint)
     if how == "cross":
         check_cross(df, right, context.cross_join_limit)
-        return df.crossJoin(right.select(*(F.col(quoted(c)).alias(f"{c}_right" if c in df.columns else c) for c in right.columns)))
+        taken, names = set(df.columns), []
+        for c in right.columns:
+            names.append(suffixed(f"{c}_right", taken | set(right.columns)) if c in taken else c)
+            taken.add(names[-1])
+        return df.crossJoin(right.select(*(F.col(quoted(c)).alias(n) for c, n in zip(right.columns, names, strict=True))))
     if params.get("on"):
         left_on = right_on = listed(params["on"])
     else:

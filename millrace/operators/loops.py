@@ -13,14 +13,17 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
+from ..functions.types import common_type
 from .aggregates import aggregate
 from .base import apply, existing, listed, needed, quoted, register
 from .filters import OPERATORS, predicate
 from .joins import check_cross
 from .sets import relaxed
 
+#: Fixed value: how a placeholder is written.
 _PLACE = re.compile(r"\{\{\s*(.+?)\s*\}\}")
 _PASS = "_pass"
 
@@ -34,6 +37,19 @@ def places(value: Any) -> set[str]:
     return set().union(*map(places, value)) if isinstance(value, (list, tuple)) else set()
 
 
+def refuse_chosen_sources(value: Any) -> None:
+    """Data must not choose what is read: no placeholder may stand where a source is named."""
+    if isinstance(value, Mapping):
+        for k, v in value.items():
+            named = [v] if isinstance(v, str) else [x for x in v if isinstance(x, str)] if isinstance(v, (list, tuple)) else []
+            if k in ("path", "source", "right", "driver") and any(map(places, named)):
+                raise OperationError(f"a placeholder can't stand in {k!r}: a source can't be chosen by data")
+            refuse_chosen_sources(v)
+    elif isinstance(value, (list, tuple)):
+        for v in value:
+            refuse_chosen_sources(v)
+
+
 def filled(value: Any, item: Mapping[str, Any]) -> Any:
     """The value with placeholders replaced; one that is the whole text keeps its type."""
     def look(name: str) -> Any:
@@ -46,9 +62,6 @@ def filled(value: Any, item: Mapping[str, Any]) -> Any:
             return look(whole[1])
         return _PLACE.sub(lambda m: str(look(m[1])), value)
     if isinstance(value, Mapping):
-        for k, v in value.items():
-            if k in ("path", "source") and places(v):
-                raise OperationError(f"a placeholder can't stand in {k!r}")
         return {filled(k, item): filled(v, item) for k, v in value.items()}
     return [filled(v, item) for v in value] if isinstance(value, (list, tuple)) else value
 
@@ -88,7 +101,7 @@ def joinable(body: list) -> bool:
 def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
     keys = [f"_key_{c}" for c in driver.columns]
     small = driver.select(*(F.col(quoted(c)).alias(k) for c, k in zip(driver.columns, keys, strict=True))).withColumn(_PASS, F.monotonically_increasing_id())
-    if not any(s["type"] == "filter" and places(s.get("params")) for s in body):
+    if not any(s["type"] == "filter" and places(s.get("params")) and (s["params"].get("operator") or "eq") in ("eq", "==") for s in body):
         check_cross(df, small, context.cross_join_limit)
     carried = [_PASS, *keys]
     out = df.crossJoin(small)
@@ -100,7 +113,10 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
                 (name,) = existing(out, [needed(params, "column")])
                 value = _as_column(params.get("value"))
                 if isinstance(value, Column) and (params.get("operator") or "eq") not in ("contains", "starts_with", "ends_with"):
-                    value = value.try_cast(out.schema[name].dataType)
+                    # a text beside another type is read as that type; other types meet in their common one, never in a narrower
+                    own, given = out.schema[name].dataType, out.select(value.alias("v")).schema["v"].dataType
+                    kind = own if isinstance(given, T.StringType) else common_type(own, given)
+                    value = value.try_cast(kind)
                 out = out.filter(predicate(out, name, params.get("operator") or "eq", value))
             elif kind == "select":
                 out = out.select(*map(quoted, existing(out, listed(needed(params, "columns")))), *carried)
@@ -124,6 +140,7 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
 def foreach(df: DataFrame, params: dict, context) -> DataFrame:
     """``{items: [{key: value}] | driver: source, body, add_keys_as_columns = false}``."""
     body = list(needed(params, "body"))
+    refuse_chosen_sources(body)
     with_keys = bool(params.get("add_keys_as_columns"))
     items = params.get("items")
     if params.get("driver") is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.errors import OperationError
-from .base import existing, listed, needed, quoted, register
+from .base import existing, fresh, listed, needed, quoted, register
 
 
 def ordering(df: DataFrame, by, descending=False) -> list[Column]:
@@ -45,16 +45,17 @@ def unique(df: DataFrame, params: dict, context=None) -> DataFrame:
     if keep == "any":
         return df.dropDuplicates(names) if subset else df.distinct()
     by = [quoted(c) for c in names]
+    n = fresh(df, "_n")
     if keep == "none":
         # counted before the shuffle: a key that most rows share is one row of each task
-        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*map(quoted, df.columns))).alias("_row")).filter("_n = 1").select("_row.*")
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias(n), F.first(F.struct(*map(quoted, df.columns))).alias(row := fresh(df, "_row"))).filter(F.col(n) == 1).select(f"{row}.*")
     if keep not in ("first", "last"):
         raise OperationError(f"unknown keep {keep!r}; known: any, first, last, none")
     order = needed(params, "order_by")
     down = params.get("descending", False)
     flip = [not d for d in (down if isinstance(down, list) else [down] * len(listed(order)))]
     keys = ordering(df, order, flip if keep == "last" else down) + ordering(df, df.columns)
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).filter("_n = 1").drop("_n")
+    return df.withColumn(n, F.row_number().over(W.partitionBy(*by).orderBy(*keys))).filter(F.col(n) == 1).drop(n)
 
 
 @register("fill_null")

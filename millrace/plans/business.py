@@ -41,3 +41,15 @@ def share(df: DataFrame, period: Column, by: str, value: Column) -> DataFrame:
 def status_rates(df: DataFrame, period: Column, by: str, status: str, values: list[str]) -> DataFrame:
     """``(period, by, n, rate_<value>...)``: the share of each status in a group and period."""
     return df.groupBy(period.alias("period"), by).agg(F.count("*").alias("n"), *((F.count(F.when(F.col(status) == v, 1)) / F.count("*")).alias(f"rate_{v}") for v in values))
+
+
+def network(people: DataFrame, levels: tuple[str, ...] = ("agent", "inspector", "head")) -> DataFrame:
+    """``(agent, inspector, head)``: each of ``people(id, manager_id)`` with those above, as many as ``levels`` has names.
+
+    A self-join a level; who has nobody above at a level has null there. 0 stands for nobody, like null.
+    """
+    above = people.select(F.col("id").alias("_id"), F.nullif(F.col("manager_id"), F.lit(0)).alias("_up"))
+    out = people.select(F.col("id").alias(levels[0]), F.nullif(F.col("manager_id"), F.lit(0)).alias("_next"))
+    for level in levels[1:]:
+        out = out.withColumnRenamed("_next", level).join(above, F.col(level) == F.col("_id"), "left").drop("_id").withColumnRenamed("_up", "_next")
+    return out.drop("_next")

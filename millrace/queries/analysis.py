@@ -27,8 +27,9 @@ WITH p AS (SELECT o_custkey, o_orderpriority, count(o_orderkey) AS x, max(o_tota
 SELECT * FROM p SEMI JOIN (SELECT o_orderpriority FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) USING (o_orderpriority) ORDER BY x DESC, o_custkey, o_orderpriority LIMIT 1000""")(
     lambda s, d: preview.scatter(table(s, d, "orders"), "o_custkey", ("o_orderkey", "count"), ("o_totalprice", "max"), "o_orderpriority"))
 query("viewer_pivot", """
-PIVOT (SELECT o_orderpriority, o_orderstatus || '' AS o_orderstatus, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big FROM orders WHERE o_orderkey > 10)
-ON o_orderstatus USING CAST(sum(big) AS BIGINT) GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 500""")(
+SELECT o_orderpriority, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) FILTER (o_orderstatus = 'F') AS BIGINT) AS "F",
+  CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) FILTER (o_orderstatus = 'O') AS BIGINT) AS "O", CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) FILTER (o_orderstatus = 'P') AS BIGINT) AS "P"
+FROM orders WHERE o_orderkey > 10 GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 500""")(
     lambda s, d: preview.viewer(table(s, d, "orders"), [{"column": "o_orderkey", "operator": "gt", "value": 10}], [{"name": "big", "expr": "case when o_totalprice > 100000 then 1 else 0 end"}], {"index": "o_orderpriority", "on": "o_orderstatus", "values": "big"}))
 query("outline_rows", """
 WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS p, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL),
@@ -42,7 +43,7 @@ def runs(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("flow_id"), F.col("user_id").alias("launched_by"), F.col("event_type").alias("kind"), F.col("props").alias("task_id"),
-        F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("status"), F.when(F.col("event_type") == "click", "schedule").otherwise("manual").alias("trigger_type"),
+        F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("status"), F.when(F.col("event_type") == "click", "schedule").when(F.col("event_type") == "view", None).otherwise("manual").alias("trigger_type"),
         F.when(F.col("event_id") % 5 == 0, F.col("event_id") - 1).alias("parent_run_id"), F.col("ts").alias("started_at"),
         F.when(F.col("event_id") % 7 != 0, F.col("ts") + F.make_dt_interval(secs=F.floor(F.abs("value")).cast("decimal(18,6)"))).alias("finished_at"),
         F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "worker exited: SIGKILL").otherwise("bad file")).alias("error"),
@@ -50,11 +51,11 @@ def runs(s: SparkSession, d: str) -> DataFrame:
 
 
 RUNS = """(SELECT event_id AS id, user_id % 20 AS flow_id, user_id AS launched_by, event_type AS kind, props AS task_id, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status,
-CASE WHEN event_type = 'click' THEN 'schedule' ELSE 'manual' END AS trigger_type, CASE WHEN event_id % 5 = 0 THEN event_id - 1 END AS parent_run_id, ts AS started_at,
+CASE WHEN event_type = 'click' THEN 'schedule' WHEN event_type <> 'view' THEN 'manual' END AS trigger_type, CASE WHEN event_id % 5 = 0 THEN event_id - 1 END AS parent_run_id, ts AS started_at,
 CASE WHEN event_id % 7 <> 0 THEN ts + to_seconds(CAST(floor(abs(value)) AS BIGINT)) END AS finished_at,
 CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'worker exited: SIGKILL' ELSE 'bad file' END END AS error FROM events) runs"""
 _at = lambda text: F.lit(text).cast("timestamp_ntz")
-_COUNTS = "count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failure') AS failure, count(*) FILTER (trigger_type = 'schedule') AS scheduled, count(*) FILTER (trigger_type <> 'schedule') AS manual"
+_COUNTS = "count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failure') AS failure, count(*) FILTER (trigger_type = 'schedule') AS scheduled, count(*) FILTER (COALESCE(trigger_type, '') <> 'schedule') AS manual"
 query("activity_day", f"SELECT strftime(started_at - INTERVAL 60 MINUTE, '%Y-%m-%d') AS bucket, {_COUNTS} FROM {RUNS} WHERE parent_run_id IS NULL AND started_at >= '2024-01-05' AND started_at < '2024-01-20' GROUP BY 1")(
     lambda s, d: history.activity(runs(s, d), _at("2024-01-05"), _at("2024-01-20"), "day", 60))
 query("activity_hour", f"SELECT strftime(started_at, '%H') AS bucket, {_COUNTS} FROM {RUNS} WHERE parent_run_id IS NULL AND started_at >= '2024-01-10' AND started_at < '2024-01-11' GROUP BY 1")(
@@ -77,9 +78,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return history.page(found, [F.desc("started_at"), F.desc("id")], 20, 50)[0].select("id", "flow_name", "user_name", "status", "error")
 
 
-query("flow_stats", f"""WITH r AS (SELECT * FROM {RUNS}), m AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY started_at DESC, id DESC) AS n FROM r WHERE finished_at >= started_at)
+query("flow_stats", f"""WITH r AS (SELECT * FROM {RUNS}), m AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY started_at DESC, id DESC) AS n FROM r WHERE finished_at IS NOT NULL)
 SELECT flow_id, count(*) AS runs, count(*) FILTER (status = 'success') AS successes, count(*) FILTER (status = 'failure') AS failures, strftime(max(started_at), '%Y-%m-%d %H:%M') AS last_start,
-(SELECT round(avg(date_diff('second', started_at, finished_at)), 2) FROM m WHERE m.flow_id = r.flow_id AND n <= 500) AS mean_seconds FROM r GROUP BY flow_id""")(
+(SELECT round(avg(date_diff('second', started_at, finished_at)), 2) FROM m WHERE m.flow_id = r.flow_id AND n <= 500 AND finished_at >= started_at) AS mean_seconds FROM r GROUP BY flow_id""")(
     lambda s, d: history.flow_statistics(runs(s, d)).withColumn("last_start", F.date_format("last_start", "yyyy-MM-dd HH:mm")))
 query("latest_run", f"""SELECT flow_id, arg_max(id, (started_at, id)) AS run_id, arg_max(status, (started_at, id)) AS status, strftime(max(started_at) FILTER (status = 'success'), '%Y-%m-%d %H:%M') AS last_success FROM {RUNS} GROUP BY 1""")(
     lambda s, d: history.latest_runs(runs(s, d)).withColumn("last_success", F.date_format("last_success", "yyyy-MM-dd HH:mm")))
@@ -107,17 +108,21 @@ query("timeline", f"SELECT id, CAST(greatest(0, date_diff('second', started_at,
 
 
 def fired(s: SparkSession, d: str) -> DataFrame:
-    """Schedules: a nation's flow runs at minute key % 30 and the next half hour, in every hour or (odd keys) in hours key and 9, region 1 on working days only."""
+    """Schedules: a nation's flow runs at minute key % 30 and the next half hour, in every hour or (odd keys) in hours key and 9, region 1 on working days only, region 2 on the
+    3rd and 5th, region 3 on Mondays and on the 4th, region 4 in February only."""
     n = table(s, d, "nation")
     k = F.col("n_nationkey")
-    made = n.select(F.col("n_name").alias("name"), F.array(k % 30, k % 30 + 30).cast("array<int>").alias("minutes"), F.when(k % 2 == 1, F.array(k, F.lit(9))).cast("array<int>").alias("hours"), F.when(F.col("n_regionkey") == 1, F.array(*map(F.lit, range(5)))).cast("array<int>").alias("weekdays"))
+    on = lambda region, days: F.when(F.col("n_regionkey") == region, F.array(*map(F.lit, days)))
+    region = F.col("n_regionkey")
+    made = n.select(k.cast("string").alias("id"), F.col("n_name").alias("name"), F.when(region == 2, F.array(F.lit(3), F.lit(5))).when(region == 3, F.array(F.lit(4))).alias("month_days"), on(4, [2]).alias("months"), F.array(k % 30, k % 30 + 30).cast("array<int>").alias("minutes"), F.when(k % 2 == 1, F.array(k, F.lit(9))).cast("array<int>").alias("hours"), F.when(region == 1, F.array(*map(F.lit, range(5)))).when(region == 3, F.array(F.lit(0))).cast("array<int>").alias("weekdays"))
     return history.firings(made, _at("2024-01-01"), 7)
 
 
 FIRED = """fired AS (SELECT n_name AS name, m AS minute FROM nation, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07 23:59:00', INTERVAL 1 MINUTE) t(m)
-WHERE minute(m) % 30 = n_nationkey % 30 AND (n_nationkey % 2 = 0 OR hour(m) IN (n_nationkey, 9)) AND (n_regionkey <> 1 OR isodow(m) <= 5)), per AS (SELECT minute, count(*) AS jobs, string_agg(name, ',' ORDER BY name) AS names FROM fired GROUP BY 1)"""
+WHERE minute(m) % 30 = n_nationkey % 30 AND (n_nationkey % 2 = 0 OR hour(m) IN (n_nationkey, 9)) AND (n_regionkey <> 1 OR isodow(m) <= 5)
+  AND (n_regionkey <> 2 OR day(m) IN (3, 5)) AND (n_regionkey <> 3 OR day(m) = 4 OR isodow(m) = 1) AND n_regionkey <> 4), per AS (SELECT minute, count(*) AS jobs, string_agg(name, ',' ORDER BY name) AS names FROM fired GROUP BY 1)"""
 query("schedule_grid", f"WITH {FIRED} SELECT CAST(isodow(minute) - 1 AS INTEGER) AS weekday, CAST(hour(minute) AS INTEGER) AS hour, CAST(sum(jobs) AS BIGINT) AS firings, max(jobs) AS peak, max(jobs) > 1 AS critical FROM per GROUP BY 1, 2")(lambda s, d: history.load_grid(fired(s, d), 1))
-query("collisions", f"WITH {FIRED} SELECT strftime(minute, '%Y-%m-%d %H:%M') AS minute, jobs, jobs - 0 AS queued, names FROM per WHERE jobs > 0 ORDER BY jobs DESC, minute LIMIT 30")(lambda s, d: history.collisions(fired(s, d), 0).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")))
+query("collisions", f"WITH {FIRED} SELECT strftime(minute, '%Y-%m-%d %H:%M') AS minute, jobs, jobs - 2 AS queued, names FROM per WHERE jobs > 2 ORDER BY jobs DESC, minute LIMIT 30")(lambda s, d: history.collisions(fired(s, d), 2).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")))
 query("error_class", f"SELECT CASE WHEN error IS NULL THEN NULL WHEN contains(lower(error), 'sigkill') THEN 'out_of_memory' ELSE 'other' END AS class, count(*) AS n FROM {RUNS} GROUP BY 1")(lambda s, d: runs(s, d).groupBy(history.error_class(F.col("error")).alias("class")).agg(F.count("*").alias("n")))
 query("stale_runs", f"SELECT id, 'failure' AS status FROM {RUNS} WHERE finished_at IS NULL AND started_at < TIMESTAMP '2024-01-20' - INTERVAL 3900 SECOND")(lambda s, d: history.stale_runs(runs(s, d), _at("2024-01-20")).select("id", "status"))
 query("catalog_search", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')")(
@@ -191,18 +196,52 @@ query("layers", "WITH RECURSIVE hit AS (SELECT c_custkey AS id, 0 AS depth FROM
 _MONEY = "decimal(18, 4)"
 
 
+def costs(s: SparkSession, d: str) -> DataFrame:
+    """Dated unit costs of each part; a cost is valid until the next one."""
+    p = table(s, d, "part")
+    row = lambda day, f: p.select(F.col("p_partkey").alias("l_partkey"), F.lit(day).cast("timestamp_ntz").alias("valid_from"), F.round(F.col("p_retailprice") * f, 2).alias("unit_cost"))
+    return row("1992-03-01", 0.25).union(row("1996-01-01", 0.5))
+
+
 def margins(s: SparkSession, d: str) -> DataFrame:
-    lines = table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"), "l_partkey").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority"), "l_orderkey")
+    parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority")
+    lines = business.valid_at(table(s, d, "lineitem").join(parts, "l_partkey").join(orders, "l_orderkey"), costs(s, d), "l_partkey", "o_orderdate", end=None)
     money = lambda c: F.round(c, 4).cast(_MONEY)
-    out = business.line_margin(lines, F.lit(1), F.col("l_extendedprice"), F.col("l_discount"), F.col("p_retailprice") * 0, F.col("l_extendedprice") * F.col("l_tax"))
-    return out.withColumns({c: money(F.col(c)) for c in ("revenue", "commercial", "margin")})
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    out = business.line_margin(lines, F.col("l_quantity"), price, F.col("l_discount"), F.coalesce("unit_cost", F.lit(0.0)), F.col("l_extendedprice") * F.col("l_tax"))
+    return out.withColumns({c: money(F.col(c)) for c in ("revenue", "production", "commercial")}).withColumn("margin", F.col("revenue") - F.col("production") - F.col("commercial"))
+
+
+MARGINS = """costs AS (SELECT p_partkey AS part, TIMESTAMP '1992-03-01' AS a, TIMESTAMP '1996-01-01' AS b, round(p_retailprice * 0.25, 2) AS cost FROM part
+  UNION ALL SELECT p_partkey, TIMESTAMP '1996-01-01', NULL, round(p_retailprice * 0.5, 2) FROM part),
+margins AS (
+  SELECT *, revenue - production - commercial AS margin FROM (
+    SELECT *, CAST(round(l_quantity * (l_extendedprice / l_quantity) * (1 - l_discount), 4) AS DECIMAL(18, 4)) AS revenue,
+      CAST(round(l_quantity * COALESCE(cost, 0), 4) AS DECIMAL(18, 4)) AS production, CAST(round(l_extendedprice * l_tax, 4) AS DECIMAL(18, 4)) AS commercial
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+    LEFT JOIN costs ON part = l_partkey AND a <= o_orderdate AND (b IS NULL OR o_orderdate < b)))"""
+_SUMS = ("revenue", "production", "commercial", "margin")
+query("line_margin", f"WITH {MARGINS} SELECT p_type, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in _SUMS)} FROM margins GROUP BY 1")(
+    lambda s, d: margins(s, d).groupBy("p_type").agg(*(F.sum(c).cast("double").alias(c) for c in _SUMS)))
+
+
+@query("margin_by_network", f"""
+WITH {MARGINS}, people AS (SELECT s_suppkey AS id, NULLIF(s_suppkey // 4, 0) AS up FROM supplier),
+network AS (SELECT a.id AS agent, a.up AS inspector, b.up AS head FROM people a LEFT JOIN people b ON a.up = b.id)
+SELECT head, inspector, r_name, o_orderpriority, CAST(sum(margin) AS DOUBLE) AS margin
+FROM margins JOIN customer ON o_custkey = c_custkey JOIN network ON agent = c_custkey % (SELECT count(*) FROM supplier) + 1
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Customers belong to an agent, agents to inspectors, these to area heads: three levels of one table."""
+    suppliers = table(s, d, "supplier")
+    people = business.network(suppliers.select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 4).alias("manager_id")))
+    customers = table(s, d, "customer").crossJoin(suppliers.agg(F.count(F.lit(1)).alias("agents"))).withColumn("agent", F.col("c_custkey") % F.col("agents") + 1)  # one row
+    customers = customers.join(people, "agent").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    met = margins(s, d).join(customers.select(F.col("c_custkey").alias("o_custkey"), "head", "inspector", "r_name"), "o_custkey")
+    return met.groupBy("head", "inspector", "r_name", "o_orderpriority").agg(F.sum("margin").cast("double").alias("margin"))
 
 
-MARGINS = "margins AS (SELECT *, CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18, 4)) AS revenue, CAST(round(l_extendedprice * l_tax, 4) AS DECIMAL(18, 4)) AS commercial FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
-query("line_margin", f"WITH {MARGINS} SELECT p_type, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(commercial) AS DOUBLE) AS commercial, CAST(sum(revenue - commercial) AS DOUBLE) AS margin FROM margins GROUP BY 1")(
-    lambda s, d: margins(s, d).groupBy("p_type").agg(*(F.sum(c).cast("double").alias(c) for c in ("revenue", "commercial")), F.sum(F.col("revenue") - F.col("commercial")).cast("double").alias("margin")))
-query("margin_by_network", f"WITH {MARGINS} SELECT r_name, n_name, o_orderpriority, CAST(sum(revenue - commercial) AS DOUBLE) AS margin FROM margins JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3")(
-    lambda s, d: margins(s, d).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name", "o_orderpriority").agg(F.sum(F.col("revenue") - F.col("commercial")).cast("double").alias("margin")))
 for _name, _by in (("category_share", "p_type"), ("channel_share", "o_orderpriority")):
     query(_name, f"WITH {MARGINS}, g AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, {_by}, CAST(sum(round(l_extendedprice)) AS BIGINT) AS value FROM margins GROUP BY 1, 2) SELECT period, {_by}, value, round(CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY period) AS DOUBLE), 7) AS share FROM g")(
         lambda s, d, by=_by: business.share(margins(s, d), F.date_format("o_orderdate", "yyyy-MM"), by, F.round("l_extendedprice").cast("long")).withColumn("share", F.round("share", 7)))

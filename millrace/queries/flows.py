@@ -76,9 +76,12 @@ flow("agg_distinct", "part", [_NULLS, step("group_by", by=["p_type"], aggregatio
 flow("agg_first_last", "orders", [step("group_by", by=["o_custkey"], aggregations=[_agg("o_totalprice", "first", "first_price", order_by="o_orderkey"), _agg("o_totalprice", "last", "last_price", order_by="o_orderkey")])], "SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1")
 
 # reshape
-flow("pivot_one", "part", [step("pivot", index="p_type", on="p_brand", values="p_size")], "PIVOT (SELECT p_type, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part) ON p_brand USING CAST(sum(p_size) AS BIGINT) GROUP BY p_type")
-flow("pivot_count", "orders", [step("pivot", index=["o_orderpriority"], on=["o_orderstatus"], values="o_orderkey", func="count")], "PIVOT (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority")
-flow("pivot_two", "orders", [step("compute", columns=[{"name": "y", "expr": "year(o_orderdate) % 2"}]), step("pivot", index="o_orderpriority", on=["o_orderstatus", "y"], values="o_totalprice", func="max")], "PIVOT (SELECT o_orderpriority, o_orderstatus || '_' || (year(o_orderdate) % 2) AS k, o_totalprice FROM orders) ON k USING max(o_totalprice) GROUP BY o_orderpriority")
+flow("pivot_one", "part", [step("pivot", index="p_type", on="p_brand", values="p_size")], 
+    "SELECT p_type, " + ", ".join(f"CAST(sum(p_size) FILTER (p_brand = 'Brand#{i}') AS BIGINT) AS \"Brand#{i}\"" for i in range(1, 26)) + " FROM part GROUP BY p_type")
+flow("pivot_count", "orders", [step("pivot", index=["o_orderpriority"], on=["o_orderstatus"], values="o_orderkey", func="count")], 
+    "SELECT o_orderpriority, " + ", ".join(f"count(o_orderkey) FILTER (o_orderstatus = '{x}') AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY 1")
+flow("pivot_two", "orders", [step("compute", columns=[{"name": "y", "expr": "year(o_orderdate) % 2"}]), step("pivot", index="o_orderpriority", on=["o_orderstatus", "y"], values="o_totalprice", func="max")], 
+    "SELECT o_orderpriority, " + ", ".join(f"max(o_totalprice) FILTER (o_orderstatus = '{x}' AND year(o_orderdate) % 2 = {y}) AS \"{x}_{y}\"" for x in "FOP" for y in (0, 1)) + " FROM orders GROUP BY 1")
 flow("unpivot_cols", "part", [_NULLS, _SHORT, step("unpivot", index=["p_partkey"], on=["s", "b"])], f"SELECT p_partkey, 's' AS variable, CAST(s AS VARCHAR) AS value FROM {_SQL_NULLS} UNION ALL SELECT p_partkey, 'b', b FROM {_SQL_NULLS}")
 flow("unpivot_rest", "orders", [step("select", columns=["o_orderkey", "o_custkey", "o_totalprice"]), step("unpivot", index="o_orderkey", variable_name="name", value_name="v")], "SELECT o_orderkey, 'o_custkey' AS name, CAST(o_custkey AS DOUBLE) AS v FROM orders UNION ALL SELECT o_orderkey, 'o_totalprice', o_totalprice FROM orders")
 flow("pivot_roundtrip", "orders", [

@@ -58,14 +58,22 @@ def read_csv(
     encoding: str = "utf8",
     try_parse_dates: bool = True,
     types: Mapping[str, str] | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV files. Types are inferred from all rows, or from any ``infer_rows`` of them (0: strings only).
+    """CSV files as RFC 4180 has them: a quote inside quotes is doubled, and a quoted field may hold separators and line feeds.
+
+    A file with line feeds inside fields can't be split between tasks. ``multi_line`` says whether there are any; None looks
+    for lines with an odd number of quotes (one pass over the lines).
+     Types are inferred from all rows, or from any ``infer_rows`` of them (0: strings only).
 
     After a bounded inference a value that doesn't fit its column's type fails the read, rather than being lost.
     Columns of ``types`` are read as text and cast. Each of ``null_values`` reads as null.
     """
     types = dict(types or {})
-    options = {"sep": separator, "header": has_header, "encoding": "UTF-8" if encoding.startswith("utf8") else encoding, "preferDate": try_parse_dates}
+    if multi_line is None:
+        odd = F.length("value") - F.length(F.translate("value", '"', ""))
+        multi_line = not _found(spark.read.text, path).filter(odd % 2 == 1).isEmpty()
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "sep": separator, "header": has_header, "encoding": "UTF-8" if encoding.startswith("utf8") else encoding, "preferDate": try_parse_dates}
     plain = _found(spark.read.options(**options).csv, path)
     names = plain.columns if has_header else [f"column_{i + 1}" for i in range(len(plain.columns))]
     text = spark.read.options(**options, enforceSchema=True).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
@@ -123,6 +131,8 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     """A file or folder by the format its name stands for."""
     from .workbooks import read_workbooks
 
+    if path.lower().endswith(".xls"):
+        raise OperationError("workbooks of the old binary format can't be read; save them as .xlsx")
     readers = {"csv": read_csv, "tsv": read_tsv, "json": read_json, "ndjson": read_ndjson, "parquet": read_parquet, "excel": read_workbooks}
     return readers[format_of(path)](spark, path, **options)
 
