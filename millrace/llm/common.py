@@ -15,9 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Multiplier of the window hash; odd, so that it has an inverse modulo 2**64.
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+#: Multipliers of the window hash and of its check; odd, so that they have inverses modulo 2**64.
+_MULTIPLIER, _CHECK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,23 +68,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of the multiplier and of its inverse, grown when a longer text comes."""
 
-    def __init__(self) -> None:
+    def __init__(self, multiplier: int) -> None:
+        self.multiplier, self.inverse = multiplier, pow(multiplier, -1, 1 << 64)
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
     def ensure(self, n: int) -> None:
         if n > len(self.up):
             n = max(n, 2 * len(self.up), 1024)
-            self.up, self.down = np.full(n, _MULTIPLIER, np.uint64), np.full(n, _INVERSE, np.uint64)
+            self.up, self.down = np.full(n, self.multiplier, np.uint64), np.full(n, self.inverse, np.uint64)
             self.up[0] = self.down[0] = 1
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
 
 
-_powers = Powers()
+_powers, _check_powers = Powers(_MULTIPLIER), Powers(_CHECK)
 
 
-def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def window_checks(hashes: np.ndarray, k: int) -> np.ndarray:
+    """32 further bits for each window, from another multiplier."""
+    return (window_hashes(hashes, k, _check_powers) >> np.uint64(32)).astype(np.uint32)
+
+
+def window_hashes(hashes: np.ndarray, k: int, _powers: Powers = _powers) -> np.ndarray:
     """A 64-bit hash for each window of ``k`` consecutive words, in a few passes whatever ``k`` is."""
     n = len(hashes)
     if n < k:

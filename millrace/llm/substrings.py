@@ -1,4 +1,4 @@
-"""Repeated passages: windows of words as edges of a De Bruijn graph, singletons dropped, repeats compacted into spans."""
+"""Repeated passages: windows of words as edges of a De Bruijn graph, singletons dropped, unbranched paths compacted by joins."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import covered, in_batches, rows_of, table, window_hashes, word_hashes, words_of
+from .common import covered, in_batches, rows_of, table, window_checks, window_hashes, word_hashes, words_of
 
 
 def anchors(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +45,27 @@ def repeated_here(edges: np.ndarray, starts: np.ndarray, found: np.ndarray, span
     return distinct, twice
 
 
+def first_places(starts: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct edge of a text stands first, in order, and where the edge one word before it stands, if that too is a
+    first place (-1 else)."""
+    at = np.sort(np.unique(edges, return_index=True)[1])
+    is_first = np.zeros(len(edges), bool)
+    is_first[at] = True
+    before = at - 1
+    fits = (at > 0) & is_first[before] & (starts[before] == starts[at] - 1)
+    return at, np.where(fits, before, -1)
+
+
+def first_here(starts: np.ndarray, edges: np.ndarray, heads: list | None, tails: list | None) -> np.ndarray:
+    """Which of a text's edges lie on a path, from a head to the next tail, that stands here before anywhere else."""
+    at, _ = first_places(starts, edges)
+    of = lambda ends: np.isin(edges[at], np.asarray(ends if ends is not None else [], np.int64)).astype(np.int64)
+    begun, ended = np.cumsum(of(heads)), np.cumsum(of(tails))
+    here = np.zeros(len(edges), bool)
+    here[at] = begun > ended - of(tails)
+    return here
+
+
 def _longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -61,18 +82,22 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
 
     1. Each document names its anchors (one short edge for every stretch of windows, about one in seven words). Anchors that
        occur once are returned to their only document, which thereby knows all windows that can be repeated.
-    2. Those windows, hashed whole, go out with their document. The smallest document of each is told that it holds the
-       first occurrence.
-    3. A document's windows that may be repeated, and whose first occurrence isn't told to be here, are repeats; so are second
-       occurrences inside it. Consecutive ones are compacted into spans.
-
-    Exact copies of a text take part in 3 only (all their windows occur in the copy with the smallest id). The texts are shuffled
-    once, by ``doc_id``; Spark reuses that exchange. The two messages to a document are bounded by its own length.
-
-    Hashes have 64 bits; with n windows the odds of any false repeat are about n * n / 2**65.
+    2. Those windows, hashed whole, are the edges: each document gives every distinct one with the edge before it. Summed per
+       edge, this tells its first document, in how many documents it is, and whether the edge before is the same in all of them.
+    3. A join of every edge with the one before it compacts paths: two edges are one path where the second always follows the
+       first (the only edge before, and equal counts), for then both stand in the same documents side by side. All links of a
+       path go; the edges where paths begin and end remain (one in fifty), and are told to the path's first document.
+    4. A document so knows the stretches (source coordinates) that stand here first. Its windows that may be repeated and are in
+       none of them are repeats; so are second occurrences inside it. Consecutive ones are compacted into spans.
+
+    Exact copies of a text take part in 4 only (all their windows occur in the copy with the smallest id). The texts are shuffled
+    once, by ``doc_id``; Spark reuses that exchange. The messages to a document are bounded by its own length.
+
+    Edges are told apart by 96 bits, two hashes by different multipliers; with n windows the odds of any false repeat are about
+    n * n / 2**97, some 1e-10 for 5e9 windows (30 GB).
     Nulls: a null text has no words; a row with a null id is left as it is. Rows that repeat an id are one
     document for the order between documents: each is judged by itself, and neither removes from the other. Very long
-    texts take about 50 bytes a word. Empty tables give an empty result. Other columns are ignored.
+    texts take about 60 bytes a word. Empty tables give an empty result. Other columns are ignored.
     """
     # no cast where none is needed: an alias would make exchanges differ that are otherwise the same and used again
     read = docs.select("doc_id" if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -104,18 +129,33 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, once in rows_of(batches):
-            if len(found := np.unique(repeatable(word_hashes(words_of(text)), once)[1])):
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc_id))], names=["window", "doc_id"])
-
-    told = known.filter("first").select("doc_id", "text", "once").mapInArrow(send, "window long, doc_id long")
-    told = told.groupBy("window").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("window").alias("here"))
-    final = known.join(told.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "once", "here")
+            hashes = word_hashes(words_of(text))
+            starts, edges = repeatable(hashes, once)
+            if len(edges):
+                checks = window_checks(hashes, window)[starts].view(np.int32)
+                at, before = first_places(starts, edges)
+                columns = [pa.array(edges[at]), pa.array(checks[at]), pa.array(np.full(len(at), doc_id))]
+                columns += [pa.array(x[before], mask=before < 0) for x in (edges, checks)]
+                yield pa.RecordBatch.from_arrays(columns, names=["edge", "check", "doc_id", "before", "before_check"])
+
+    placed_edges = known.filter("first").select("doc_id", "text", "once").mapInArrow(send, "edge long, check int, doc_id long, before long, before_check int")
+    low, high = F.struct(F.min("before"), F.min("before_check")), F.struct(F.max("before"), F.max("before_check"))
+    alone = (low == high) & (F.count("before") == F.count(F.lit(1)))
+    edges = placed_edges.groupBy("edge", "check").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.when(alone, F.min("before")).alias("before"), F.when(alone, F.min("before_check")).alias("before_check")
+    )
+    v, w = edges.select("edge", "check", "doc_id", "n").alias("v"), edges.alias("w")
+    linked = F.expr("v.edge = w.before AND v.check = w.before_check AND v.n = w.n")
+    ends = v.join(w, linked, "full").filter("v.edge IS NULL OR w.edge IS NULL")
+    told = ends.select(F.coalesce("v.doc_id", "w.doc_id").alias("doc_id"), F.col("w.edge").alias("head"), F.col("v.edge").alias("tail"))
+    told = told.groupBy("doc_id").agg(F.collect_list("head").alias("heads"), F.collect_list("tail").alias("tails"))
+    final = known.join(told.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "once", "heads", "tails")
     final = final.unionByName(nameless, allowMissingColumns=True)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for doc_id, text, first, once, here in rows_of(batches):
+            for doc_id, text, first, once, heads, tails in rows_of(batches):
                 words = words_of(text)
                 n, gone = len(words), None
                 if doc_id is not None and n >= window:
@@ -123,10 +163,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
                         gone = np.ones(n, bool)
                     else:
                         starts, found = repeatable(word_hashes(words), once)
-                        second = np.ones(len(found), bool)
-                        second[np.unique(found, return_index=True)[1]] = False
-                        told_here = np.isin(found, np.asarray(here if here is not None else [], np.int64))
-                        gone = covered(starts[second | ~told_here], window, n)
+                        gone = covered(starts[~first_here(starts, found, heads, tails)], window, n)
                 spans: list[int] = []
                 if gone is not None and gone.any():
                     spans = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
