@@ -85,7 +85,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
     2. Those windows, hashed whole, are the edges: each document gives every distinct one with the edge before it. Summed per
        edge, this tells its first document, in how many documents it is, and whether the edge before is the same in all of them.
     3. A join of every edge with the one before it compacts paths: two edges are one path where the second always follows the
-       first (the only edge before, and equal counts), for then both stand in the same documents side by side. All links of a
+       first (the only edge before, equal counts, the same first document), for then both stand in the same documents side by side. All links of a
        path go; the edges where paths begin and end remain (one in fifty), and are told to the path's first document.
     4. A document so knows the stretches (source coordinates) that stand here first. Its windows that may be repeated and are in
        none of them are repeats; so are second occurrences inside it. Consecutive ones are compacted into spans.
@@ -134,19 +134,16 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
             if len(edges):
                 checks = window_checks(hashes, window)[starts].view(np.int32)
                 at, before = first_places(starts, edges)
-                columns = [pa.array(edges[at]), pa.array(checks[at]), pa.array(np.full(len(at), doc_id))]
-                columns += [pa.array(x[before], mask=before < 0) for x in (edges, checks)]
-                yield pa.RecordBatch.from_arrays(columns, names=["edge", "check", "doc_id", "before", "before_check"])
-
-    placed_edges = known.filter("first").select("doc_id", "text", "once").mapInArrow(send, "edge long, check int, doc_id long, before long, before_check int")
-    low, high = F.struct(F.min("before"), F.min("before_check")), F.struct(F.max("before"), F.max("before_check"))
-    alone = (low == high) & (F.count("before") == F.count(F.lit(1)))
-    edges = placed_edges.groupBy("edge", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.when(alone, F.min("before")).alias("before"), F.when(alone, F.min("before_check")).alias("before_check")
-    )
-    v, w = edges.select("edge", "check", "doc_id", "n").alias("v"), edges.alias("w")
-    linked = F.expr("v.edge = w.before AND v.check = w.before_check AND v.n = w.n")
-    ends = v.join(w, linked, "full").filter("v.edge IS NULL OR w.edge IS NULL")
+                columns = [pa.array(edges[at]), pa.array(checks[at]), pa.array(np.full(len(at), doc_id)), pa.array(edges[before], mask=before < 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["edge", "check", "doc_id", "before"])
+
+    placed_edges = known.filter("first").select("doc_id", "text", "once").mapInArrow(send, "edge long, check int, doc_id long, before long")
+    same = (F.min("before") == F.max("before")) & (F.count("before") == F.count(F.lit(1)))
+    edges = placed_edges.groupBy("edge", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.when(same, F.min("before")).alias("before"))
+    # the last condition always holds (what comes before stands at a smaller place); it keeps both sides' columns, and so their
+    # exchanges, the same, so that Spark counts the edges once
+    linked = F.expr("v.edge = w.before AND v.n = w.n AND v.doc_id = w.doc_id AND coalesce(v.before <> w.edge, true)")
+    ends = edges.alias("v").join(edges.alias("w"), linked, "full").filter("v.edge IS NULL OR w.edge IS NULL")
     told = ends.select(F.coalesce("v.doc_id", "w.doc_id").alias("doc_id"), F.col("w.edge").alias("head"), F.col("v.edge").alias("tail"))
     told = told.groupBy("doc_id").agg(F.collect_list("head").alias("heads"), F.collect_list("tail").alias("tails"))
     final = known.join(told.hint("merge"), "doc_id", "left").select("doc_id", "text", "first", "once", "heads", "tails")
