@@ -109,9 +109,9 @@ def among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is null or not in ``ids``; most of them aren't shuffled."""
-    marked = _marked(docs, ids, bits)
+    marked = _marked(docs.select("doc_id", F.struct(*docs.columns).alias("_row")), ids, bits)  # whatever the table's columns are called
     unsure = marked.filter("_hit").join(ids.hint("merge"), "doc_id", "left_anti")
-    return marked.filter("NOT _hit").unionByName(unsure).select(*docs.columns)
+    return marked.filter("NOT _hit").unionByName(unsure).select("_row.*")
 
 
 def _possible(a: str, b: str, in_common: str, percent: int, slack: int = 44) -> str:

@@ -336,10 +336,12 @@ def redacted(text: str, spans: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind; all columns stay, ``n_chars`` follows the text."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = find(docs.select("doc_id", "text", F.struct(*rest).alias("_row")), keep=("_row", "text"))
-    out = found.withColumn("_new", F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("text")))
+    """``docs`` with every span replaced by its kind; all columns stay, ``n_chars`` follows the text, a null text stays null."""
+    rest, null = [c for c in docs.columns if c != "text"], "_null"
+    while null in rest:
+        null += "_"
+    found = find(docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias(null)).alias("_row")), keep=("_row", "text"))
+    out = found.withColumn("_new", F.when(F.size("spans") > 0, redacted("text", "spans")).when(~F.col(f"_row.{null}"), F.col("text")))
     value = {c: F.col(f"_row.{c}") for c in rest} | {"text": F.col("_new")}
     if "n_chars" in rest:
         value["n_chars"] = F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars"))
