@@ -37,14 +37,14 @@ def directly_stale(edges: DataFrame, refreshed: DataFrame, succeeded: DataFrame)
     return read.join(succeeded.select(F.col("id").alias("target"), F.col("at").alias("succeeded_at")), "target").filter("refreshed_at > succeeded_at").select(F.col("target").alias("id")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(id, depth)``: everything that can be reached over ``edges(source, target)`` from the seeds ``(id)``, and how far it is.
 
     Breadth first: each round joins the newest nodes only with the edges, and stops when there are none, so cycles end.
     """
     found = frontier = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
-    while rounds is None or depth < rounds:
+    while True:
         depth += 1
         step = edges.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
         frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
@@ -61,11 +61,21 @@ def stale(edges: DataFrame, direct: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, center: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
-    """``(id, depth)`` within ``depth`` (1 to 8) steps; ``both`` may turn at each step."""
+    """``(id, depth)`` within ``depth`` (1 to 8) steps; ``both`` may turn at each step.
+
+    One plan of ``depth`` joins, without jobs or stored tables between them: each sends the newest nodes' neighbours beside the
+    nodes themselves and keeps the smallest depth of each, reduced before the shuffle.
+    """
     if direction not in ("upstream", "downstream", "both") or not 1 <= depth <= 8:
         raise ValueError("direction is upstream, downstream or both; depth is 1 to 8")
     down, up = edges.select("source", "target"), edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return reach({"downstream": down, "upstream": up, "both": down.union(up).distinct()}[direction], center, depth)
+    links = {"downstream": down, "upstream": up, "both": down.union(up).distinct()}[direction].filter("target IS NOT NULL")
+    found = center.select("id").distinct().withColumn("depth", F.lit(0))
+    for i in range(depth):
+        newest = found.join(links, (F.col("id") == F.col("source")) & (F.col("depth") == i), "left")
+        pairs = newest.select(F.explode(F.array(F.struct("id", "depth"), F.struct(F.col("target").alias("id"), F.lit(i + 1).alias("depth")))).alias("n"), "target")
+        found = pairs.filter(f"n.depth <= {i} OR target IS NOT NULL").groupBy(F.col("n.id").alias("id")).agg(F.min("n.depth").alias("depth"))
+    return found
 
 
 def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
