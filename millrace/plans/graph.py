@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -14,16 +14,37 @@ DATA_KINDS = ("read", "publish", "write")
 
 
 def flow_edges(flows: DataFrame) -> DataFrame:
-    """Edges from flow definitions ``(id, definition)``, JSON lists of nodes ``{type, dataset?, flow?}``; duplicates removed."""
-    nodes = flows.select(F.col("id").cast("string").alias("flow"), F.explode(F.from_json("definition", "array<struct<type:string,dataset:string,flow:string>>")).alias("n"))
+    """Edges from flow definitions ``(id, definition)``, JSON lists of nodes
+    ``{type, dataset?, flow?, connection?, table?, bucket?, key?}``; duplicates removed.
+
+    An output writes a dataset, a table of a connection (``table:<connection>/<table>``) or a file (``file:<bucket>/<key>``);
+    ``?`` stands for a table or key without name.
+    """
+    node = "array<struct<type:string,dataset:string,flow:string,connection:string,table:string,bucket:string,key:string>>"
+    nodes = flows.select(F.col("id").cast("string").alias("flow"), F.explode(F.from_json("definition", node)).alias("n"))
     kind = F.col("n.type")
+
+    def sink(prefix: str, place: str, name: str) -> Column:
+        return F.concat(F.lit(prefix), F.trim(f"n.{place}"), F.lit("/"), F.coalesce(F.nullif(F.trim(f"n.{name}"), F.lit("")), F.lit("?")))
+
+    written = F.coalesce("n.dataset", sink("table:", "connection", "table"), sink("file:", "bucket", "key"))
     return nodes.select(
         F.when(kind == "source", F.col("n.dataset")).otherwise(F.col("flow")).alias("source"),
-        F.when(kind == "source", F.col("flow")).when(kind == "runflow", F.col("n.flow")).otherwise(F.col("n.dataset")).alias("target"),
+        F.when(kind == "source", F.col("flow")).when(kind == "runflow", F.col("n.flow")).when(kind == "output", written).otherwise(F.col("n.dataset")).alias("target"),
         F.create_map(*(F.lit(x) for x in ("source", "read", "output", "write", "refresh", "refresh", "runflow", "orchestrate")))[kind].alias("kind"),
     ).dropna().distinct()
 
 
+def catalog_edges(datasets: DataFrame, flows: DataFrame, connections: DataFrame) -> DataFrame:
+    """Edges from the catalog ``(id, flow_id, connection_id)``: a known flow publishes a dataset, a known connection feeds one."""
+
+    def of(column: str, known: DataFrame, kind: str) -> DataFrame:
+        met = datasets.join(known.select(F.col("id").alias(column)), column, "left_semi")
+        return met.select(F.col(column).cast("string").alias("source"), F.col("id").cast("string").alias("target"), F.lit(kind).alias("kind"))
+
+    return of("flow_id", flows, "publish").union(of("connection_id", connections, "ingest")).distinct()
+
+
 def dangling(edges: DataFrame, nodes: DataFrame, existing: DataFrame) -> DataFrame:
     """Referenced ids without a readable node: ``removed`` if nothing of that id exists, else ``unreadable``."""
     ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().join(nodes.select("id"), "id", "left_anti")

@@ -164,6 +164,25 @@ UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey + 1 AS VARCHAR), 'or
         F.struct(F.lit("output").alias("type"), F.concat(F.lit("o"), "p_brand").alias("dataset"), F.lit(None).cast("string").alias("flow")),
         F.struct(F.lit("output").alias("type"), F.concat(F.lit("o"), "p_brand").alias("dataset"), F.lit(None).cast("string").alias("flow")),
         F.struct(F.lit("runflow").alias("type"), F.lit(None).cast("string").alias("dataset"), (F.col("p_partkey") + 1).cast("string").alias("flow")))).alias("definition"))))
+query("catalog_edges", """
+SELECT CAST(o_custkey AS VARCHAR) AS source, CAST(o_orderkey AS VARCHAR) AS target, 'publish' AS kind FROM orders
+WHERE o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION SELECT CAST(o_orderkey % 40 AS VARCHAR), CAST(o_orderkey AS VARCHAR), 'ingest' FROM orders WHERE o_orderkey % 40 IN (SELECT n_nationkey FROM nation)""")(
+    lambda s, d: graph.catalog_edges(
+        table(s, d, "orders").select(
+            F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("flow_id"), (F.col("o_orderkey") % 40).alias("connection_id")
+        ),
+        table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id")),
+        table(s, d, "nation").select(F.col("n_nationkey").alias("id")),
+    ))
+query("sink_edges", """
+SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS source, 'table:' || (p_size % 7) || '/' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '?' END AS target, 'write' AS kind FROM part
+UNION SELECT CAST(p_partkey AS VARCHAR), 'file:lake/' || CASE WHEN p_size % 3 = 0 THEN p_type ELSE '?' END, 'write' FROM part""")(
+    lambda s, d: graph.flow_edges(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.array(
+        F.struct(F.lit("output").alias("type"), (F.col("p_size") % 7).cast("string").alias("connection"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" ").alias("table"),
+            F.lit(None).cast("string").alias("bucket"), F.lit(None).cast("string").alias("key")),
+        F.struct(F.lit("output").alias("type"), F.lit(None).cast("string").alias("connection"), F.lit(None).cast("string").alias("table"),
+            F.lit("lake").alias("bucket"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("key")))).alias("definition"))))
 query("dangling", f"WITH {GRAPH} SELECT DISTINCT id, CASE WHEN starts_with(id, 's') THEN 'unreadable' ELSE 'removed' END AS reason FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) WHERE left(id, 1) IN ('s', 'r')")(
     lambda s, d: graph.dangling(edges(s, d), nodes(s, d).filter("type NOT IN ('s', 'r')"), nodes(s, d).filter("type <> 'r'")))
 query("stale_direct", "SELECT DISTINCT 'n' || c_nationkey AS id FROM customer WHERE c_acctbal > c_nationkey * 100")(
