@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat
 from .html import op2_html
+from .lexical import OP13_SQL, op13_lexical
 from .mixing import OP9_SQL, op9_mixing
 from .neardup import OP6_SQL, op6_near_duplicates
 from .packing import op1_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_lexical": op13_lexical,
 }
 
-ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_substrings": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_substrings": OP8_SQL, "op9_mixing": OP9_SQL, "op13_lexical": OP13_SQL}
