@@ -20,8 +20,8 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str, ranks: str | None):
-    """A function from text to ids.
+def encoder(vocabulary: str, ranks: str | None, special: bool = True):
+    """A function from text to ids. Without ``special`` the strings of special tokens are plain text.
 
     ``vocabulary`` names a ``tokenizers`` file, ``ranks`` the same vocabulary for ``tiktoken``, which gives the same
     ids about five times as fast (a test compares them over every character it's used for). Other texts, and those
@@ -31,6 +31,7 @@ def encoder(vocabulary: str, ranks: str | None):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    slow.encode_special_tokens = not special
     if ranks is None:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .chat import OP3_SQL, op3_chat
 from .html import op2_html
 from .lexical import OP13_SQL, op13_lexical
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
     "op13_lexical": op13_lexical,
 }
 
