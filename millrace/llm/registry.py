@@ -14,6 +14,7 @@ from .quality import op10_quality
 from .search import OP4_SQL, op4_search
 from .substrings import OP8_SQL, op8_substrings
 from .toxicity import op7_toxicity
+from .warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_warc": op11_warc,
     "op12_alignment": op12_alignment,
     "op13_lexical": op13_lexical,
 }
 
-ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_substrings": OP8_SQL, "op9_mixing": OP9_SQL, "op13_lexical": OP13_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op4_search": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op8_substrings": OP8_SQL, "op9_mixing": OP9_SQL, "op11_warc": OP11_SQL, "op13_lexical": OP13_SQL}
