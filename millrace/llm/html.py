@@ -30,13 +30,20 @@ _BLOCKS = frozenset(
 )
 #: Blocks that are part of an article's text unless they recur on most pages.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main".split())
-#: Elements that hold no main text, and words of class, id and role that say so.
+#: Elements that hold no main text, and roles that say so.
 _OUT = frozenset("nav footer aside form menu dialog head button search".split())
+_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Names of what isn't main text. A class or id leaves its element out if it is made of these and of ``_PLAIN_WORDS`` alone
+#: ("comments", "cookie-notice", "comment-list"), or holds one and the element's text is mostly links ("related-posts"); a
+#: name that merely holds one ("share-price", "comment-on-brexit") says nothing about an element of running text.
 _OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar"
-    " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay banner comment comments respond disqus discussion replies reply share sharing social"
-    " newsletter subscribe subscription signup login related recommended recommendations pagination pager widget toolbar search hidden skip complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar"
+    " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay banner comment comments commentlist respond disqus"
+    " newsletter subscribe signup login share sharing social related recommended recommendations pagination pager toolbar search hidden".split()
 )
+_PLAIN_WORDS = frozenset("area bar block body box button buttons container content footer form header inner item items left list main outer page right section site thread top widget wrap wrapper".split())
+#: Elements that no class or id leaves out.
+_KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption table tr td th".split())
 #: A start tag on the left closes an open element on the right.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 
@@ -47,31 +54,38 @@ class Node:
     ``path`` hashes its tag, class and id words and those of the elements around it; ``place`` adds whether its text is links.
     """
 
-    __slots__ = ("tag", "parent", "out", "inside", "parts", "chars", "whole", "linked", "hash", "path", "place")
+    __slots__ = ("tag", "parent", "out", "listed", "inside", "parts", "chars", "whole", "linked", "hash", "path", "place")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool, label: str) -> None:
-        self.tag, self.parent, self.out, self.inside = tag, parent, out, inside
+    def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool, label: str, listed: bool = False) -> None:
+        self.tag, self.parent, self.out, self.inside, self.listed = tag, parent, out, inside, listed
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.whole = self.linked = self.hash = self.place = 0
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0} {tag} {label}".encode("utf-8", "surrogatepass"))
 
 
-def _described(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Is the element left out by its tag or words, and its class and id words (digits apart, which often count something)."""
-    out, label = tag in _OUT or tag == "header" and not inside, []
+def _described(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Is the element left out by its tag, role or names, is it if it is mostly links, and its class and id words (digits apart, which
+    often count something)."""
+    out, listed, label = tag in _OUT or tag == "header" and not inside, False, []
     if not attributes.strip():
-        return out, ""
-    whole = tag in ("html", "body", "main")
+        return out, False, ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name not in _TELLING:
             continue
-        words = _TOKENS.findall(value)
         if name in ("class", "id"):
-            label += words
-        if not whole and (name == "hidden" or name == "aria-hidden" and value == "true" or not _OUT_WORDS.isdisjoint(words)):
+            label += _TOKENS.findall(value)
+            if tag not in _KEPT:
+                for one in value.split():
+                    words = set(_TOKENS.findall(one))
+                    if not words.isdisjoint(_OUT_WORDS):
+                        listed = True
+                        out = out or words <= _OUT_WORDS | _PLAIN_WORDS
+        elif name == "role":
+            out = out or tag not in _KEPT and not _OUT_ROLES.isdisjoint(value.split())
+        elif tag not in ("html", "body", "main") and (name == "hidden" or value == "true"):
             out = True
-    return out, " ".join(label)
+    return out, listed, " ".join(label)
 
 
 def parsed(html: str) -> tuple[Node, list[Node]]:
@@ -114,8 +128,8 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
             at = at.parent
         if tag == "hr":
             continue
-        out, label = _described(tag, m[4], at.inside)
-        node = Node(tag, at, at.out or out, at.inside or tag in ("article", "main"), label)
+        out, listed, label = _described(tag, m[4], at.inside)
+        node = Node(tag, at, at.out or out, at.inside or tag in ("article", "main"), label, listed)
         at.parts.append(node)
         nodes.append(node)
         if not m[4].rstrip().endswith("/"):
@@ -125,6 +139,9 @@ def parsed(html: str) -> tuple[Node, list[Node]]:
     flush()
     for node in reversed(nodes):
         digest = xxhash.xxh3_64(node.tag.encode())
+        # what is mostly links is known only now; what holds it is met later, what it holds was left out with it or is read no more
+        if node.listed and not node.out and 2 * (node.linked + sum(x.linked for x in node.parts if not isinstance(x, str))) > sum(len(x) if isinstance(x, str) else x.whole for x in node.parts):
+            node.out = True
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len(part)
@@ -161,7 +178,7 @@ def main_chain(root: Node) -> list[Node]:
         chain.append(below[0])
 
 
-def beside(root: Node) -> tuple[set[int], set[int]]:
+def beside_main(root: Node) -> tuple[set[int], set[int]]:
     """Places beside the main chain (menus, adverts and footers, whatever they say) and places on it."""
     chain = main_chain(root)
     on = {x.place for x in chain}
@@ -187,13 +204,15 @@ def _within(node: Node | None, tag: str) -> bool:
     return False
 
 
-def main_text(html: str, template: frozenset[int], often: frozenset[int] = frozenset(), places: frozenset[int] = frozenset()) -> str:
+def main_text(html: str, template: frozenset[int], often: frozenset[int] = frozenset(), places: frozenset[int] = frozenset(), sides: frozenset[int] = frozenset()) -> str:
     """The page's main text, blocks joined by line feeds, without the subtrees whose hashes are in ``template`` or ``often`` and
     without what stands in ``places``.
 
     Template goes first, wherever it is; the article is looked for in what remains, and element rules leave out the rest that
     isn't main text. Paragraphs and the like of an article go only if they are in ``often``, what recurs on most pages. Template
-    goes however long it is beside the page's own text; a page with nothing else is a copy of others, and keeps its text.
+    goes however long it is beside the page's own text. A page of which nothing is left is a copy of others, and keeps the text of
+    its main element (``copied``), if it has one; what stood beside that stays deleted, and ``sides``, places that on other
+    pages are beside the main element, are none.
     """
     root, nodes = parsed(html)
     holding = set()
@@ -211,9 +230,7 @@ def main_text(html: str, template: frozenset[int], often: frozenset[int] = froze
 
     deleted = {id(x) for x in nodes if gone(x)} if template or often or places else set()
 
-    def blocks(gone: set[int]) -> list[str]:
-        left = [x for x in nodes if not _in(x, gone)] if gone else nodes
-        top = _main(left, root)
+    def blocks(top: Node, gone: set[int]) -> list[str]:
         found, stack = [], [top]
         while stack:
             part = stack.pop()
@@ -223,7 +240,20 @@ def main_text(html: str, template: frozenset[int], often: frozenset[int] = froze
                 stack.extend(reversed(part.parts))
         return found
 
-    return "\n".join(blocks(deleted) or blocks(set()))
+    found = blocks(_main([x for x in nodes if not _in(x, deleted)] if deleted else nodes, root), deleted)
+    if not found and deleted and (top := copied(root, nodes, places | sides)):
+        found = blocks(top, set())
+    return "\n".join(found)
+
+
+def copied(root: Node, nodes: list[Node], places: frozenset[int]) -> Node | None:
+    """The main element of a page that is a copy: its article, or else the element with most of its text; never the page itself, nor a
+    list of links, nor what stands in the place of a template."""
+    top = _main(nodes, root)
+    top = top if top is not root else [x for x in main_chain(root) if x.tag not in _TEXT or x.tag in ("article", "main")][-1]
+    if top.parent is None or top.tag == "body" or top.out or not top.chars or 2 * top.linked > top.whole or top.place in places:
+        return None
+    return top
 
 
 def _in(node: Node | None, deleted: set[int]) -> bool:
@@ -258,7 +288,8 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5, many: int
        whatever the host's size.
     3. Pages are joined with the rows of their host and section by hash, parsed again, and texts extracted without these subtrees.
 
-    Menus, footers, forms and the like that no count finds are left out by element and by words of class, id and role.
+    Menus, footers, forms and the like that no count finds are left out by element and role, and by class and id if these are made of
+    such words alone, or hold one on an element that is mostly links; headings, quotes, tables and articles never are.
     Nulls: a null html is empty and gives an empty text; pages without host are one host. Repeated rows are pages of their
     own. Very long pages are parsed whole. Empty tables give an empty result. Other columns are ignored.
     """
@@ -272,7 +303,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5, many: int
         def rows() -> Iterator[tuple]:
             for host, section, html in rows_of(batches):
                 root, nodes = parsed(html or "")
-                off, on = beside(root)
+                off, on = beside_main(root)
                 found = [(None, CONTENT, 1, 0), *((h, CONTENT, 1, 0) for h in {x.hash for x in nodes if removable(x)}), *((h, PLACE, 1, 0) for h in off), *((h, PLACE, 0, 1) for h in on)]
                 for h, *rest in found:
                     h = h if h is None else h - (1 << 63)
@@ -289,21 +320,22 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.5, many: int
     some = (F.col("n") >= many) & (F.col("n") >= low * F.col("pages"))
     found = counts.filter("hash IS NOT NULL").join(of_place, ["place", "is_host"])
     placed = most & (F.col("kind") == PLACE) & (F.col("central") <= 0.05 * F.col("n"))
+    beside = most & (F.col("kind") == PLACE) & (2 * F.col("central") <= F.col("n"))
     by_content = F.col("kind") == CONTENT
-    picked = {"often": by_content & most, "template": by_content & some & ~most, "places": placed}
-    template = found.filter(by_content & (most | some) | placed).groupBy("place", "is_host").agg(*(F.collect_list(F.when(c, F.col("hash"))).alias(k) for k, c in picked.items()))
+    picked = {"template": by_content & some & ~most, "often": by_content & most, "places": placed, "sides": beside & ~placed}
+    template = found.filter(by_content & (most | some) | beside).groupBy("place", "is_host").agg(*(F.collect_list(F.when(c, F.col("hash"))).alias(k) for k, c in picked.items()))
     # stored: where the table is small Spark broadcasts it and no page is shuffled; else it can split a host with very many pages
     template = stored(template, "templates")
     joined = read
     for place, is_host in (("host", "is_host"), ("section", "NOT is_host")):
         of = template.filter(is_host).select(F.col("place").alias(f"{place}_place"), *(F.col(k).alias(f"{place}_{k}") for k in picked))
         joined = joined.join(of, F.col(place) == F.col(f"{place}_place"), "left")
-    joined = joined.select("page_id", "url", "html", *(f"{place}_{k}" for k in ("template", "often", "places") for place in ("host", "section")))
+    joined = joined.select("page_id", "url", "html", *(f"{place}_{k}" for k in picked for place in ("host", "section")))
     out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = lambda a, b: frozenset(x + (1 << 63) for part in (a, b) for x in part or ())
-        rows = ((i, u, main_text(h or "", both(*t[:2]), both(*t[2:4]), both(*t[4:]))) for i, u, h, *t in rows_of(batches))
+        rows = ((i, u, main_text(h or "", *(both(*t[k : k + 2]) for k in range(0, len(t), 2)))) for i, u, h, *t in rows_of(batches))
         yield from in_batches(rows, out_schema, 512)
 
     return joined.mapInArrow(strip, "page_id long, url string, text string")
