@@ -13,7 +13,7 @@ from .errors import OperationError
 _REFLECTION = re.compile(r"\b(?:try_)?(?:reflect|java_method)\s*\(", re.IGNORECASE)
 _FORBIDDEN_IN_EXPRESSION = re.compile(r";|--|/\*", re.IGNORECASE)
 _SUB_QUERY = re.compile(r"\.(?:\w*Subquery\w*|ListQuery|Exists|UnresolvedRelation)\"")
-_FORBIDDEN_IN_QUERY = re.compile(r";|--|/\*|global_temp|\b(?:read_files|read_parquet|read_csv|parquet_scan|range_scan)\s*\(", re.IGNORECASE)
+_FORBIDDEN_IN_QUERY = re.compile(r";|--|/\*|global_temp|\b(?:read_files|read_parquet|read_csv|parquet_scan|range_scan|identifier)\s*\(", re.IGNORECASE)
 
 
 def without_literals(text: str) -> str:
@@ -40,19 +40,32 @@ def check_expression(text: str) -> str:
     return text
 
 
-def _leaves(df: DataFrame) -> list:
-    """What a frame's plan, its sub-queries included, begins with."""
-    plan = df._jdf.queryExecution().analyzed()
-    below = plan.subqueriesAll()
-    found = [p.collectLeaves() for p in (plan, *(below.apply(i) for i in range(below.size())))]
-    return [leaves.apply(i) for leaves in found for i in range(leaves.size())]
+def _each(found) -> list:
+    return [found.apply(i) for i in range(found.size())]
+
+
+def _refuse_others(plan, own: set[str]) -> None:
+    """Everything that an analysed plan reads must be one of the views ``own``, or constants.
+
+    A view of ours is not looked into, whatever it holds; any other view is refused whatever it holds, and so is any other relation, also
+    one that the input reads itself. Sub-queries are looked through where they stand.
+    """
+    if plan.nodeName() == "View":
+        if plan.desc().identifier().table() in own:
+            return
+        raise OperationError("only self and input can be read in a query")
+    below = _each(plan.children())
+    if not below and plan.nodeName() not in ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef"):
+        raise OperationError("only self and input can be read in a query")
+    for part in (*below, *_each(plan.subqueries())):
+        _refuse_others(part, own)
 
 
 def run_isolated(df: DataFrame, query: str) -> DataFrame:
     """The result of a query in which the input is ``self`` and ``input`` and nothing else can be read.
 
     The query is parsed alone first (one statement, balanced), then resolved as a sub-query, which refuses definitions and changes,
-    in a session that knows only those two views and doesn't read files by path.
+    in a session whose only views are those two and that doesn't read files by path; then the resolved plan is looked through.
     """
     if not isinstance(query, str) or not query.strip():
         raise OperationError("the query is empty")
@@ -64,7 +77,7 @@ def run_isolated(df: DataFrame, query: str) -> DataFrame:
     spark = df.sparkSession
     import uuid
 
-    shared = f"input_{uuid.uuid4().hex}"
+    shared, own = f"input_{uuid.uuid4().hex}", {"self", "input"}
     try:
         spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
         alone: SparkSession = spark.newSession()
@@ -75,10 +88,7 @@ def run_isolated(df: DataFrame, query: str) -> DataFrame:
         for name in ("self", "input"):
             alone.table(f"global_temp.{shared}").createOrReplaceTempView(name)
         result = alone.sql(f"SELECT * FROM (\n{query}\n)")
-        own = _leaves(df)
-        for leaf in _leaves(result):
-            if leaf.nodeName() not in ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef") and not any(leaf.sameResult(x) for x in own):
-                raise OperationError("only self and input can be read in a query")
+        _refuse_others(result._jdf.queryExecution().analyzed(), own)
         if "CallMethodViaReflection" in json.dumps(json.loads(result._jdf.queryExecution().analyzed().toJSON())):
             raise OperationError("calls into the JVM aren't allowed in a query")
         return result

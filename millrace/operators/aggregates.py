@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
 from ..functions.types import common_type
-from .base import existing, listed, needed, quoted, register
+from .base import existing, fresh, listed, needed, quoted, register
 
 _FUNCTIONS = {
     "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "median": F.median,
@@ -64,12 +64,15 @@ def pivot(df: DataFrame, params: dict, context=None) -> DataFrame:
     most = context.pivot_limit if context else 500
     parts = [F.col(quoted(c)).cast("string") for c in on]
     header = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
-    keyed = df.withColumn("_on", F.when(header, F.concat_ws("_", *parts)))
-    names = sorted(r[0] for r in keyed.select("_on").filter("_on IS NOT NULL").distinct().limit(most + 1).collect())
+    made = fresh(df, "_on")
+    keyed = df.withColumn(made, F.when(header, F.concat_ws("_", *parts)))
+    names = sorted(r[0] for r in keyed.select(made).filter(F.col(made).isNotNull()).distinct().limit(most + 1).collect())
     if len(names) > most:
         raise OperationError(f"the pivot would have more than {most} columns")
-    out = keyed.groupBy(*map(quoted, index)).pivot("_on", names).agg(aggregate(value, func)) if names else df.select(*map(quoted, index)).distinct()
-    return out.fillna(0, subset=names) if func in ("count", "n_unique") and names else out
+    if both := [n for n in names if n in index]:
+        raise OperationError(f"the pivot's column {both[0]!r} is an index column as well")
+    out = keyed.groupBy(*map(quoted, index)).pivot(made, names).agg(aggregate(value, func)) if names else df.select(*map(quoted, index)).distinct()
+    return out.withColumns({n: F.coalesce(F.col(quoted(n)), F.lit(0)) for n in names}) if func in ("count", "n_unique") and names else out
 
 
 @register("unpivot")

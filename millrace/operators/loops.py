@@ -101,8 +101,6 @@ def joinable(body: list) -> bool:
 def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
     keys = [f"_key_{c}" for c in driver.columns]
     small = driver.select(*(F.col(quoted(c)).alias(k) for c, k in zip(driver.columns, keys, strict=True))).withColumn(_PASS, F.monotonically_increasing_id())
-    if not any(s["type"] == "filter" and places(s.get("params")) and (s["params"].get("operator") or "eq") in ("eq", "==") for s in body):
-        check_cross(df, small, context.cross_join_limit)
     carried = [_PASS, *keys]
     out = df.crossJoin(small)
     for position, step in enumerate(body, 1):
@@ -116,6 +114,10 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
                     # a text beside another type is read as that type; other types meet in their common one, never in a narrower
                     own, given = out.schema[name].dataType, out.select(value.alias("v")).schema["v"].dataType
                     kind = own if isinstance(given, T.StringType) else common_type(own, given)
+                    if isinstance(given, T.StringType) and not isinstance(own, T.StringType):
+                        bad = small.select(value.alias("v"), value.try_cast(kind).alias("w")).filter("v IS NOT NULL AND w IS NULL").first()
+                        if bad:
+                            raise OperationError(f"{bad['v']!r} is no {kind.simpleString()}, which column {name!r} is compared as")
                     value = value.try_cast(kind)
                 out = out.filter(predicate(out, name, params.get("operator") or "eq", value))
             elif kind == "select":
@@ -126,13 +128,16 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
             elif kind == "unique":
                 out = out.dropDuplicates([*(listed(params["subset"]) if params.get("subset") else own), _PASS])
             elif kind == "drop_nulls":
-                out = out.dropna("any", subset=listed(params["subset"]) if params.get("subset") else own)
+                out = apply(out, [{"type": kind, "params": {"subset": listed(params["subset"]) if params.get("subset") else own}}], context)
             elif kind == "fill_null" and params.get("columns"):
                 out = apply(out, [{"type": kind, "params": {"columns": {c: _as_column(v) for c, v in params["columns"].items()}}}], context)
             else:
                 out = apply(out, [step], context)
         except OperationError as e:
             raise OperationError(f"in the loop's step {position}: {e.reason}") from e
+    # what Spark makes of it decides: without an equality that reaches the join, all pairs of rows and items are formed
+    if re.search("NestedLoopJoin|CartesianProduct", out._jdf.queryExecution().sparkPlan().toString()):
+        check_cross(df, small, context.cross_join_limit)
     return out
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
 from .base import existing, fresh, listed, needed, quoted, register
@@ -64,11 +67,14 @@ def fill_null(df: DataFrame, params: dict, context=None) -> DataFrame:
     if columns := params.get("columns"):
         existing(df, list(columns))
         return df.withColumns({c: F.coalesce(F.col(quoted(c)), v if isinstance(v, Column) else F.lit(v).cast(df.schema[c].dataType)) for c, v in columns.items()})
-    return df.fillna(needed(params, "value"))
+    value = needed(params, "value")
+    kinds = T.BooleanType if isinstance(value, bool) else T.NumericType if isinstance(value, (int, float)) else T.StringType
+    own = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    return df.withColumns({c: F.coalesce(F.col(quoted(c)), F.lit(value).cast(df.schema[c].dataType)) for c in own}) if own else df
 
 
 @register("drop_nulls")
 def drop_nulls(df: DataFrame, params: dict, context=None) -> DataFrame:
     """``{subset?}``; a null in any of the columns (default: all) drops the row."""
     names = existing(df, listed(params["subset"])) if params.get("subset") else df.columns
-    return df.dropna("any", subset=names)
+    return df.filter(reduce(lambda a, b: a & b, (F.col(quoted(n)).isNotNull() for n in names)))

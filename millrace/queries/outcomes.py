@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +141,43 @@ def _(s: SparkSession, d: str) -> DataFrame:
 _ODD = """p_name || '"q", ' || chr(10) || 'x' AS odd"""
 
 
+_TYPED = "SELECT p_partkey, '00' || p_size AS code, CASE WHEN p_partkey % 2 = 0 THEN 'y' ELSE 'n' END AS flag, p_size || 'd' AS suffixed, '2024-0' || (1 + p_size % 9) AS month"
+_TYPED += ", p_partkey || '01234567890123456789' AS many, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS whole, CAST(p_size AS DOUBLE) / 4 AS quarter, p_size > 20 AS large FROM part"
+
+
+@query("csv_types", _TYPED)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Codes, flags, months and long numbers stay text; numbers and booleans become such."""
+    folder = work_folder(s)
+    table(s, d, "part").createOrReplaceTempView(name := f"part_{uuid.uuid4().hex}")
+    sinks.write_csv(s.sql(_TYPED.replace("FROM part", f"FROM {name}")), f"{folder}/typed.csv")
+    s.catalog.dropTempView(name)
+    return files.read_any(s, f"{folder}/typed.csv")
+
+
+@query("csv_ragged", "SELECT 'longer' AS \"case\", 'has 3 fields' AS refused, 0 AS n UNION ALL SELECT 'shorter', '', count(*) FROM part UNION ALL SELECT 'bytes', 'UTF-8', 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Lines with more fields than the header and bytes that aren't UTF-8 fail the read; missing fields are null."""
+    folder, part = work_folder(s), table(s, d, "part").select("p_partkey", "p_name")
+    last = part.agg(F.max("p_partkey")).first()[0]
+    line = F.concat_ws(",", "p_partkey", F.lit("x"))
+    cases = {
+        "longer": F.when(F.col("p_partkey") == last, F.concat(line, F.lit(",more"))).otherwise(line),
+        "shorter": F.when(F.col("p_partkey") == last, F.col("p_partkey").cast("string")).otherwise(line),
+        "bytes": F.when(F.col("p_partkey") == last, F.concat(line.cast("binary"), F.unhex(F.lit("E9"))).cast("string")).otherwise(line),
+    }
+    out = []
+    for case, said in cases.items():
+        part.select(said.alias("k,v")).write.option("emptyValue", "").text(f"{folder}/{case}.csv")
+        n, word = 0, ""
+        try:
+            n = files.read_csv(s, f"{folder}/{case}.csv", has_header=False).filter("column_1 IS NOT NULL").count()
+        except (OperationError, PySparkException) as e:
+            word = next((w for w in ("has 3 fields", "UTF-8") if w in str(e)), str(e))
+        out.append((case, word, n))
+    return s.createDataFrame(out, "case string, refused string, n long")
+
+
 @query("csv_quotes", f"SELECT p_partkey, {_ODD}, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN 'late' ELSE CAST(p_size AS VARCHAR) END AS mixed FROM part")
 def _(s: SparkSession, d: str) -> DataFrame:
     folder, rows = work_folder(s), table(s, d, "part")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.errors import OperationError, SourceNotFound
 from ..functions.types import type_of
+from ..operators.base import quoted
+from .delimited import read_delimited
 
 #: Formats by file extension.
 FORMATS = {
@@ -41,76 +42,16 @@ def overridden(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Columns cast to the given types; unknown names are an error, values that don't convert become null."""
     if missing := [c for c in types if c not in df.columns]:
         raise OperationError(f"unknown column {missing[0]!r}")
-    return df.withColumns({c: F.col(f"`{c}`").try_cast(type_of(t)) for c, t in types.items()})
+    return df.withColumns({c: F.col(quoted(c)).try_cast(type_of(t)) for c, t in types.items()})
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _found(spark.read.parquet, path)
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    separator: str = ",",
-    has_header: bool = True,
-    infer_rows: int | None = None,
-    null_values: Sequence[str] = ("",),
-    encoding: str = "utf8",
-    try_parse_dates: bool = True,
-    types: Mapping[str, str] | None = None,
-    multi_line: bool | None = None,
-) -> DataFrame:
-    """CSV files as RFC 4180 has them: a quote inside quotes is doubled, and a quoted field may hold separators and line feeds.
-
-    A file with line feeds inside fields can't be split between tasks. ``multi_line`` says whether there are any; None looks
-    for lines with an odd number of quotes (one pass over the lines).
-     Types are inferred from all rows, or from any ``infer_rows`` of them (0: strings only).
-
-    After a bounded inference a value that doesn't fit its column's type fails the read, rather than being lost.
-    Columns of ``types`` are read as text and cast. Each of ``null_values`` reads as null.
-    """
-    types = dict(types or {})
-    if multi_line is None:
-        odd = F.length("value") - F.length(F.translate("value", '"', ""))
-        multi_line = not _found(spark.read.text, path).filter(odd % 2 == 1).isEmpty()
-    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "sep": separator, "header": has_header, "encoding": "UTF-8" if encoding.startswith("utf8") else encoding, "preferDate": try_parse_dates}
-    plain = _found(spark.read.options(**options).csv, path)
-    names = plain.columns if has_header else [f"column_{i + 1}" for i in range(len(plain.columns))]
-    text = spark.read.options(**options, enforceSchema=True).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
-    for marker in null_values:
-        text = text.withColumns({n: F.nullif(F.col(f"`{n}`"), F.lit(marker)) for n in names})
-    kinds = {n: type_of(t) for n, t in types.items()}
-    if unknown := [n for n in kinds if n not in names]:
-        raise OperationError(f"unknown column {unknown[0]!r}")
-    if infer_rows == 0:
-        return text.withColumns({n: F.col(f"`{n}`").try_cast(t) for n, t in kinds.items()})
-    inferred = _inferred(text.limit(infer_rows) if infer_rows else text, [n for n in names if n not in kinds], try_parse_dates)
-
-    def checked(n: str, t: T.DataType) -> Column:
-        message = F.concat(F.lit(f"column {n!r} was inferred as {t.simpleString()} from {infer_rows} rows, but holds "), F.col(f"`{n}`"))
-        return F.when(_misfit(n, t), F.raise_error(message)).otherwise(F.col(f"`{n}`").try_cast(t))
-
-    cast = {n: checked(n, t) if infer_rows else F.col(f"`{n}`").try_cast(t) for n, t in inferred.items()}
-    return text.withColumns(cast | {n: F.col(f"`{n}`").try_cast(t) for n, t in kinds.items()})
-
-
-def _misfit(n: str, t: T.DataType) -> Column:
-    """Does the text not convert to the type, or only with a loss? A cast to a date ignores what follows the day."""
-    value = F.col(f"`{n}`")
-    bad = value.try_cast(t).isNull()
-    return value.isNotNull() & (bad | F.rlike(F.trim(value), F.lit(r"[\sT]")) if isinstance(t, T.DateType) else bad)
-
-
-def _inferred(text: DataFrame, names: Sequence[str], dates: bool) -> dict[str, T.DataType]:
-    """For each column of text the narrowest type that every value converts to, found in one aggregation."""
-    tried = [T.LongType(), T.DoubleType(), T.BooleanType(), *([T.DateType(), T.TimestampNTZType()] if dates else [])]
-    if not names:
-        return {}
-    fits = [F.count(F.when(_misfit(n, t), 1)).alias(f"{i}_{j}") for i, n in enumerate(names) for j, t in enumerate(tried)]
-    full = [F.count(f"`{n}`").alias(f"n_{i}") for i, n in enumerate(names)]
-    found = text.agg(*fits, *full).first()
-    of = lambda i: next((t for j, t in enumerate(tried) if found[f"{i}_{j}"] == 0), T.StringType()) if found[f"n_{i}"] else T.StringType()
-    return {n: of(i) for i, n in enumerate(names)}
+def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """CSV files; for the options see ``read_delimited``."""
+    return _found(lambda p: read_delimited(spark, p, **options), path)
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
