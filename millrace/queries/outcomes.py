@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from ..functions.storage import work_folder
 from ..operators import apply
 from ..plans import history, preview, reuse
 from ..sources import files, jdbc, sinks
+from ..streaming import jobs
 from . import context, query, step, table
 
 
@@ -78,18 +80,85 @@ outcomes("error_position", "nation", {
 }, {"third step": "3", "unknown type": "unknown operation", "Spark's own": "no_such"})
 
 
-@query("refused_queries", "SELECT * FROM (VALUES ('other database', 'only self'), ('catalog table', 'only self'), ('file', 'invalid'), ('definition', 'invalid'), ('nothing read', 'must read'), ('plain', '')) t(\"case\", refused), (SELECT count(*) AS n FROM nation)")
+def _over(kind: str, value: str, *more: dict) -> list[dict]:
+    return [step("foreach", items=[{"x": v} for v in value.split()], body=[*more, step("filter", column="c_custkey", operator=kind, value="{{x}}")])]
+
+
+_TOP = step("group_by", by=["c_custkey"], aggregations=[{"column": "c_acctbal", "func": "max", "alias": "top"}])
+outcomes("refused_cross_loops", "customer", {
+    "all pairs": _over("lt", "1 2 3"), "text that is no number": _over("lt", "10.5"), "pairs behind a group": [step("foreach", items=[{"x": i} for i in range(3)], body=[_TOP, step("filter", column="top", operator="gt", value="{{x}}")])],
+    "no pairs": [step("foreach", items=[{"x": 0}], body=[step("compute", columns=[{"name": "zero", "expr": "c_custkey - c_custkey"}]), step("filter", column="zero", operator="eq", value="{{x}}")])],
+}, {"all pairs": "cross join", "text that is no number": "10.5", "pairs behind a group": "cross join"}, {"cross_join_limit": 100})
+
+
+@query("dotted_names", "SELECT n_regionkey AS region, count(*) AS n, count(*) FILTER (n_nationkey % 2 = 0) AS even, sum(n_nationkey)::BIGINT AS keys FROM nation WHERE n_nationkey % 5 > 0 GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A table whose names have dots, through operations that name columns."""
+    odd = table(s, d, "nation").select(
+        F.when(F.col("n_nationkey") % 5 > 0, F.col("n_nationkey")).alias("key.of"), F.col("n_regionkey").alias("re.gion"), F.when(F.col("n_nationkey") % 2 == 0, "1.5").alias("_on"), F.col("n_name").alias("na`me")
+    )
+    steps = [
+        step("drop_nulls", subset=["key.of"]), step("fill_null", columns={"_on": "2.5"}), step("fill_null", value="-"), step("unique", subset=["key.of"]), step("sort", by=["na`me"]), step("rename", mapping={"na`me": "na.me"}),
+        step("compute", columns=[{"name": "one.more", "expr": "`key.of` * 1"}]), step("pivot", index=["re.gion", "key.of"], on=["_on"], values="na.me", func="count"), step("filter", column="key.of", operator="ge", value=0),
+    ]
+    wide = apply(odd, steps, context(s, d))
+    return wide.groupBy(F.col("`re.gion`").alias("region")).agg(F.sum(F.col("`1.5`") + F.col("`2.5`")).alias("n"), F.sum("`1.5`").alias("even"), F.sum("`key.of`").alias("keys"))
+
+
+@query("partitioned_versions", "SELECT o_orderstatus AS _n, o_orderpriority AS _file, o_orderkey + 9 AS k, 0 AS failed FROM orders")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Ten rewrites of a partitioned dataset while another thread reads it over and over: each read finds one whole version."""
+    folder, stop, seen = work_folder(s), threading.Event(), []
+    rows = table(s, d, "orders").select(F.col("o_orderstatus").alias("_n"), F.col("o_orderpriority").alias("_file"), F.col("o_orderkey").alias("k"))
+    n, low = rows.agg(F.count(F.lit(1)), F.min("k")).first()
+    sinks.write_snapshot(rows, folder, 4, ["_n"])
+
+    def read() -> None:
+        while not stop.is_set():
+            try:
+                found = sinks.read_snapshot(s, folder).agg(F.count(F.lit(1)), F.min("k")).first()
+                seen.append(found[0] == n and 0 <= found[1] - low <= 9)
+            except Exception:  # noqa: BLE001  what a reader mustn't see, whatever it is
+                seen.append(False)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 10):
+        sinks.write_snapshot(rows.withColumn("k", F.col("k") + k), folder, 4, ["_n"])
+    try:  # one that fails changes nothing
+        sinks.write_snapshot(rows.withColumn("k", F.when(F.col("k") > low, F.raise_error(F.lit("broken")).cast("long")).otherwise(0)), folder, 4, ["_n"])
+        seen.append(False)
+    except PySparkException:
+        pass
+    stop.set()
+    reader.join()
+    return sinks.read_snapshot(s, folder).withColumn("failed", F.lit(seen.count(False) if seen else -1))
+
+
+@query("stream_again", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A stream drained twice with the same checkpoint: the second call finds what the first has committed."""
+    checkpoint, rows = work_folder(s), table(s, d, "events")
+    rows.write.parquet(f"{checkpoint}-in")
+    for _ in range(2):
+        out = jobs.drained(s.readStream.schema(rows.schema).parquet(f"{checkpoint}-in").select("event_type"), "again", checkpoint)
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("refused_queries", "SELECT * FROM (VALUES ('other database', 'only self'), ('catalog table', 'only self'), ('own table', 'only self'), ('identifier', 'allowed'), ('file', 'invalid'), ('definition', 'invalid'), ('nothing read', 'must read'), ('plain', '')) t(\"case\", refused), (SELECT count(*) AS n FROM nation)")
 def _(s: SparkSession, d: str) -> DataFrame:
     db = f"other_{uuid.uuid4().hex[:8]}"
     path = f"{d}/region.parquet"
     s.sql(f"CREATE DATABASE {db}")
     try:
         s.sql(f"CREATE TABLE {db}.secret USING parquet LOCATION '{path}'")
+        s.sql(f"CREATE TABLE {db}.own USING parquet LOCATION '{d}/nation.parquet'")
         cases = {
+            "own table": f"select * from self union all select * from {db}.own", "identifier": "select self.* from self, identifier('global' || '_temp.secret')",
             "other database": f"select self.* from self cross join {db}.secret", "catalog table": f"select self.* from self where exists (select 1 from {db}.secret)", "file": f"select self.* from self, parquet.`{path}`",
             "definition": "create table x as select * from self", "nothing read": "select 1", "plain": "with t as (select * from self) select t.* from t join (values (1)) v(x)",
         }
-        words = {"other database": "only self", "catalog table": "only self", "file": "invalid", "definition": "invalid", "nothing read": "must read"}
+        words = {"own table": "only self", "identifier": "allowed", "other database": "only self", "catalog table": "only self", "file": "invalid", "definition": "invalid", "nothing read": "must read"}
         found = None
         for case, text in cases.items():
             rows, word = table(s, d, "nation"), ""
@@ -101,7 +170,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
             found = one if found is None else found.union(one)
         return found
     finally:
-        s.sql(f"DROP TABLE IF EXISTS {db}.secret")
+        for name in ("secret", "own"):
+            s.sql(f"DROP TABLE IF EXISTS {db}.{name}")
         s.sql(f"DROP DATABASE {db}")
 
 
@@ -196,7 +266,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return files.read_any(s, f"{folder}/nations.json").select("n_nationkey", "n_name")
 
 
-@query("normalised", "SELECT count(*) AS written, count(*) AS read, 9 AS columns FROM customer".replace("9", "5"))
+@query("normalised", "SELECT count(*) AS written, count(*) AS read, 5 AS columns FROM customer")
 def _(s: SparkSession, d: str) -> DataFrame:
     folder = work_folder(s)
     rows, columns = files.normalise(table(s, d, "customer"), folder)
