@@ -6,23 +6,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+from ..functions.types import common_type
+from ..operators.base import quoted
+
 
 def valid_at(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "valid_from", end: str | None = "valid_to") -> DataFrame:
     """Facts with the row of ``ranges`` valid at their time: ``start <= at <= end``, a null end being open.
 
-    Without ``end``, a range ends where the key's next one begins. An equality join on the key with the rest as a condition: Spark
-    broadcasts the ranges when they're small, else shuffles both by key. Facts without a valid row stay, with nulls.
+    Without ``end``, a range ends where the key's next one begins (``as_of``). With it, ranges may overlap, and a fact meets each that
+    is valid: an equality join on the key with the rest as a condition; where they don't, ``as_of`` with ``end`` gives the same
+    without pairing a key's facts with all its ranges. Facts without a valid row stay, with nulls.
     """
     if end is None:
-        nxt = F.lead(start).over(W.partitionBy(key).orderBy(start))
-        ranges, end, inclusive = ranges.withColumn("_end", nxt), "_end", False
-    else:
-        inclusive = True
+        return as_of(facts, ranges, key, at, start)
     r = ranges.withColumnsRenamed({c: f"_r_{c}" for c in ranges.columns})
-    upper = F.col(at) <= F.col(f"_r_{end}") if inclusive else F.col(at) < F.col(f"_r_{end}")
-    met = facts.join(r, (F.col(key) == F.col(f"_r_{key}")) & (F.col(f"_r_{start}") <= F.col(at)) & (F.col(f"_r_{end}").isNull() | upper), "left")
-    kept = [c for c in ranges.columns if c not in (key, "_end")]
-    return met.select(*facts.columns, *(F.col(f"_r_{c}").alias(c) for c in kept))
+    within = (F.col(f"_r_{start}") <= F.col(at)) & (F.col(f"_r_{end}").isNull() | (F.col(at) <= F.col(f"_r_{end}")))
+    met = facts.join(r, (F.col(key) == F.col(f"_r_{key}")) & within, "left")
+    return met.select(*facts.columns, *(F.col(f"_r_{c}").alias(c) for c in ranges.columns if c != key))
+
+
+def as_of(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "valid_from", end: str | None = None, slice_rows: int = 1_000_000) -> DataFrame:
+    """Facts with the row of ``ranges`` that began last before or at their time; with ``end``, only if that one isn't over by then.
+
+    A merge: facts and ranges in one table, sorted by key and time, the last range carried forward. A key of more than
+    ``slice_rows`` rows is cut into slices of time at its quantiles, each sorted by itself; the last range of the slices before
+    is passed on to it (one row for each slice). Work is linear in facts and ranges, however many of them a key has.
+
+    Facts with a null key or time, or before the first range, stay, with nulls. Ranges with a null key or start are never met. Of ranges that
+    begin at the same time the greatest row counts. Repeated facts stay.
+    """
+    kept = [c for c in ranges.columns if c != key]
+    when = common_type(facts.schema[at].dataType, ranges.schema[start].dataType)
+    name = lambda c: F.col(quoted(c))
+    fact, row = F.struct(*map(name, facts.columns)).alias("fact"), F.struct(*map(name, kept)).alias("row")
+    known = name(key).isNotNull() & name(at).isNotNull()
+    no_fact, no_row = (F.lit(None).cast(df.select(x).schema[0].dataType) for df, x in ((facts, fact), (ranges, row)))
+    rows = facts.filter(known).select(name(key).alias("key"), name(at).cast(when).alias("time"), fact, no_row.alias("row"))
+    rows = rows.unionByName(ranges.filter(name(key).isNotNull() & name(start).isNotNull()).select(name(key).alias("key"), name(start).cast(when).alias("time"), no_fact.alias("fact"), row))
+    # counts and quantiles are summed up before the shuffle; only keys beyond slice_rows are left, one row each
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows)
+    if counts.isEmpty():
+        placed, before = rows.withColumn("slice", F.lit(0)), None
+    else:
+        large = stored(counts.withColumn("parts", F.least(F.ceil(F.col("n") / slice_rows), F.lit(1000)).cast("int")))
+        thousandths = F.percentile_approx("time", [i / 1000 for i in range(1, 1000)], 10_000)
+        cuts = stored(rows.join(large, "key").groupBy("key").agg(thousandths.alias("all"), F.first("parts").alias("parts")))
+        # as many of the thousandths as the key needs slices, evenly
+        cuts = cuts.select("key", F.expr("array_distinct(transform(sequence(1, parts - 1), i -> all[cast(i * 1000 / parts as int) - 1]))").alias("cuts"))
+        placed = rows.join(cuts, "key", "left").withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("time"))), F.lit(0))).drop("cuts")
+        last = placed.join(cuts.select("key"), "key", "left_semi").groupBy("key", "slice").agg(F.max(F.when(F.col("row").isNotNull(), F.struct("time", "row"))).alias("last"))
+        carried = F.last("last", ignorenulls=True).over(W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+        before = stored(last.select("key", "slice", carried["row"].alias("carried")))
+    order = W.partitionBy("key", "slice").orderBy("time", F.col("fact").isNotNull(), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = placed.withColumn("met", F.last("row", ignorenulls=True).over(order)).filter(F.col("fact").isNotNull())
+    if before is not None:
+        found = found.join(before, ["key", "slice"], "left").withColumn("met", F.coalesce("met", "carried"))
+    if end is not None:
+        over = F.col("met").getField(end) < F.col("time")
+        found = found.withColumn("met", F.when(over, None).otherwise(F.col("met")))
+    merged = found.select(*(F.col("fact").getField(c).alias(c) for c in facts.columns), *(F.col("met").getField(c).alias(c) for c in kept))
+    nulls = [F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in kept]
+    return merged.union(facts.filter(~known).select(*map(name, facts.columns), *nulls))
 
 
 def line_margin(lines: DataFrame, quantity: Column, price: Column, discount: Column, unit_cost: Column, line_cost: Column) -> DataFrame:

@@ -280,3 +280,15 @@ query("price_asof", f"WITH {PRICES} SELECT l_orderkey, l_partkey, l_linenumber,
     lambda s, d: business.valid_at(table(s, d, "lineitem"), prices(s, d), "l_partkey", "l_shipdate").select("l_orderkey", "l_partkey", "l_linenumber", "price"))
 query("price_asof_next", f"WITH {PRICES} SELECT l_orderkey, l_partkey, l_linenumber, price FROM lineitem LEFT JOIN (SELECT *, lead(a) OVER (PARTITION BY p_partkey ORDER BY a) AS e FROM prices) ON l_partkey = p_partkey AND a <= l_shipdate AND (e IS NULL OR l_shipdate < e)")(
     lambda s, d: business.valid_at(table(s, d, "lineitem"), prices(s, d).drop("valid_to"), "l_partkey", "l_shipdate", end=None).select("l_orderkey", "l_partkey", "l_linenumber", "price"))
+
+
+_STEPS = "SELECT o_custkey % 3 AS k, o_orderdate AS since, max(o_orderkey) AS rate, max(o_orderdate) + INTERVAL (max(o_orderkey) % 4) DAY AS until FROM orders GROUP BY 1, 2"
+query("asof_hot", f"""WITH r AS (SELECT *, lead(since) OVER (PARTITION BY k ORDER BY since) AS next FROM ({_STEPS}))
+SELECT l_orderkey, l_linenumber, CASE WHEN until >= l_shipdate THEN rate END AS rate
+FROM lineitem LEFT JOIN r ON l_partkey % 3 = k AND since <= l_shipdate AND (next IS NULL OR l_shipdate < next)""")(
+    lambda s, d: business.as_of(
+        table(s, d, "lineitem").withColumn("k", F.col("l_partkey") % 3),
+        table(s, d, "orders").groupBy((F.col("o_custkey") % 3).alias("k"), F.col("o_orderdate").alias("since")).agg(F.max("o_orderkey").alias("rate")).withColumn("until", F.expr("since + make_dt_interval(cast(rate % 4 as int))")),
+        "k", "l_shipdate", "since", "until", slice_rows=5000,
+    ).select("l_orderkey", "l_linenumber", "rate")
+)
