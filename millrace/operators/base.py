@@ -22,6 +22,7 @@ class Context:
     sources: Mapping[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     cross_join_limit: int = 50_000_000
     pivot_limit: int = 500
+    median_rows: int = 1_000_000
     loop_limit: int = 1_000
     loop_total: int = 100_000
     passes: int = 0

@@ -58,21 +58,77 @@ def directly_stale(edges: DataFrame, refreshed: DataFrame, succeeded: DataFrame)
     return read.join(succeeded.select(F.col("id").alias("target"), F.col("at").alias("succeeded_at")), "target").filter("refreshed_at > succeeded_at").select(F.col("target").alias("id")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _chained(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """``(id, anchor, offset)`` for nodes with exactly one link into them that aren't stops: the nearest node before them that is a
+    stop or has none or several links into it, and how far it is.
+
+    Pointers double in each round, so a path of n nodes takes about log2(n) rounds. Nodes that no anchor leads to (cycles) are left out.
+    """
+    into = links.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("anchor"))
+    single = into.filter("n = 1").join(stops.select("id"), "id", "left_anti").select("id", "anchor", F.lit(1).cast("long").alias("offset"), F.lit(False).alias("ended"))
+    pointers = stored(single)
+    for _ in range(pointers.count().bit_length() + 1):
+        further = pointers.select(F.col("id").alias("anchor"), F.col("anchor").alias("next"), F.col("offset").alias("more"))
+        moved = pointers.filter("NOT ended").join(further, "anchor", "left").select(
+            "id", F.coalesce("next", "anchor").alias("anchor"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("next").isNull().alias("ended"))
+        pointers = stored(moved.union(pointers.filter("ended")))
+        if pointers.filter("NOT ended").isEmpty():
+            break
+    return pointers.filter("ended").drop("ended")
+
+
+def _shortcuts(links: DataFrame, chained: DataFrame, stops: DataFrame, longest: bool) -> DataFrame:
+    """``(source, target, weight)``: links into nodes with several of them, drawn from the anchors of their sources."""
+    heads = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(stops.select(F.col("id").alias("target")), "target", "left_anti").select("target")
+    drawn = links.join(heads, "target", "left_semi").join(chained.withColumnRenamed("id", "source"), "source", "left")
+    weight = F.coalesce("offset", F.lit(0)) + 1
+    return stored(drawn.groupBy(F.coalesce("anchor", "source").alias("source"), "target").agg((F.max(weight) if longest else F.min(weight)).alias("weight")))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
     """``(id, depth)``: everything that can be reached over ``edges(source, target)`` from the seeds ``(id)``, and how far it is.
 
-    Breadth first: each round joins the newest nodes only with the edges, and stops when there are none, so cycles end.
+    Breadth first for ``hops`` rounds, in which most graphs end; each joins the newest nodes only with the edges. What lies deeper is
+    found by shortcuts: nodes with one link into them hang on their anchors by doubled pointers, and rounds go on only over nodes with
+    several. So a tree or chain of any depth takes about log2(depth) rounds more, and cycles end.
     """
-    found = frontier = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
-    while True:
-        depth += 1
-        step = edges.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
+    links = stored(edges.select("source", "target").dropna().distinct())
+    found = frontier = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
+    for depth in range(1, hops + 1):
+        step = links.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
-            break
+            return found.withColumn("depth", F.col("depth").cast("int"))
         found = stored(found.union(frontier))
-    return found
+    chained = _chained(links, found)
+    short = _shortcuts(links, chained, found, longest=False)
+    newest = found
+    while True:
+        step = short.join(newest.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min(F.col("depth") + F.col("weight")).alias("offered"))
+        newest = stored(step.join(found, "id", "left").filter("depth IS NULL OR offered < depth").select("id", F.col("offered").alias("depth")))
+        if newest.isEmpty():
+            break
+        found = stored(found.union(newest).groupBy("id").agg(F.min("depth").alias("depth")))
+    hung = chained.join(found.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("depth") + F.col("offset")).alias("depth"))
+    return found.union(hung).withColumn("depth", F.col("depth").cast("int"))
+
+
+def follow(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(id, depth)``: what the seeds reach where every source of ``links(source, target)`` has one target, as parents in a tree.
+
+    Each round doubles the length of all jumps and of the paths looked at, so log2(depth) rounds do; cycles end.
+    """
+    jumps = stored(links.select("source", "target").dropna().groupBy("source").agg(F.min("target").alias("target")))
+    found = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
+    known, length = found.count(), 1
+    while True:
+        jumped = jumps.join(found.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (F.col("depth") + length).alias("depth"))
+        found = stored(found.union(jumped).groupBy("id").agg(F.min("depth").alias("depth")))
+        grown = found.count()
+        if grown == known:
+            return found.withColumn("depth", F.col("depth").cast("int"))
+        known, length = grown, 2 * length
+        jumps = stored(jumps.join(jumps.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")))
 
 
 def stale(edges: DataFrame, direct: DataFrame) -> DataFrame:
@@ -122,13 +178,28 @@ def problem_counts(nodes: DataFrame, stale_ids: DataFrame) -> DataFrame:
 def tree_closure(parents: DataFrame, roots: DataFrame, up: bool = False) -> DataFrame:
     """Descendants (or ancestors) of the roots ``(id)`` in ``parents(id, parent_id)``; cycles end."""
     links = parents.filter("parent_id IS NOT NULL")
-    a, b = ("id", "parent_id") if up else ("parent_id", "id")
-    return reach(links.select(F.col(a).alias("source"), F.col(b).alias("target")), roots)
+    if up:
+        return follow(links.select(F.col("id").alias("source"), F.col("parent_id").alias("target")), roots)
+    return reach(links.select(F.col("parent_id").alias("source"), F.col("id").alias("target")), roots)
 
 
 def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``(id, layer)``: the longest path from a root, in at most as many rounds as there are nodes (or ``rounds``), so that cycles end."""
-    current = stored(nodes.select("id").withColumn("layer", F.lit(0)))
+    """``(id, layer)``: the longest path from a root, in at most as many rounds as there are nodes (or ``rounds``), so that cycles end.
+
+    Without ``rounds`` and without cycles, nodes with one link into them hang on their anchors by doubled pointers, and rounds go on
+    only over nodes with several.
+    """
+    ids = stored(nodes.select("id"))
+    if rounds is None:
+        known = ids.distinct()
+        links = edges.select("source", "target").dropna().distinct()
+        for end in ("source", "target"):
+            links = links.join(known.withColumnRenamed("id", end), end, "left_semi")
+        links = stored(links.select("source", "target"))
+        found = _layers_without_cycles(links, known)
+        if found is not None:
+            return ids.join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
+    current = stored(ids.withColumn("layer", F.lit(0)))
     for _ in range(current.count() if rounds is None else rounds):
         offered = edges.join(current.select(F.col("id").alias("source"), "layer"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("offered"))
         nxt = stored(current.join(offered, "id", "left").select("id", F.greatest("layer", F.coalesce("offered", F.lit(0))).alias("layer"), (F.coalesce("offered", F.lit(0)) > F.col("layer")).alias("moved")))
@@ -136,3 +207,23 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> Dat
         if nxt.filter("moved").isEmpty():
             break
     return current
+
+
+def _layers_without_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """``(id, layer)`` of nodes with links into them; None if there is a cycle."""
+    none = nodes.limit(0)
+    chained = _chained(links, none)
+    short = _shortcuts(links, chained, none, longest=True)
+    into = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("several")).first()
+    if chained.count() < into["single"]:
+        return None
+    anchors = short.select(F.col("source").alias("id")).union(short.select("target")).union(chained.select("anchor")).distinct()
+    current, newest = stored(anchors.withColumn("layer", F.lit(0).cast("long"))), None
+    for _ in range(into["several"] + 1):
+        offered = short.join((current if newest is None else newest).withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max(F.col("layer") + F.col("weight")).alias("offered"))
+        newest = stored(offered.join(current, "id").filter("offered > layer").select("id", F.col("offered").alias("layer")))
+        if newest.isEmpty():
+            hung = chained.join(current.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("layer") + F.col("offset")).alias("layer"))
+            return current.union(hung)
+        current = stored(current.union(newest).groupBy("id").agg(F.max("layer").alias("layer")))
+    return None
