@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import ORACLES, QUERIES, analysis, flows, outcomes, storage  # noqa: F401  (importing registers)
+from .queries import ORACLES, QUERIES, analysis, flows, outcomes, skewed, storage  # noqa: F401  (importing registers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
