@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import scratch, stored
 
 #: Edges along which data flows.
 DATA_KINDS = ("read", "publish", "write")
@@ -58,7 +58,7 @@ def directly_stale(edges: DataFrame, refreshed: DataFrame, succeeded: DataFrame)
     return read.join(succeeded.select(F.col("id").alias("target"), F.col("at").alias("succeeded_at")), "target").filter("refreshed_at > succeeded_at").select(F.col("target").alias("id")).distinct()
 
 
-def _chained(links: DataFrame, stops: DataFrame) -> DataFrame:
+def _chained(links: DataFrame, stops: DataFrame, stored: Callable) -> DataFrame:
     """``(id, anchor, offset)`` for nodes with exactly one link into them that aren't stops: the nearest node before them that is a
     stop or has none or several links into it, and how far it is.
 
@@ -77,7 +77,7 @@ def _chained(links: DataFrame, stops: DataFrame) -> DataFrame:
     return pointers.filter("ended").drop("ended")
 
 
-def _shortcuts(links: DataFrame, chained: DataFrame, stops: DataFrame, longest: bool) -> DataFrame:
+def _shortcuts(links: DataFrame, chained: DataFrame, stops: DataFrame, longest: bool, stored: Callable) -> DataFrame:
     """``(source, target, weight)``: links into nodes with several of them, drawn from the anchors of their sources."""
     heads = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(stops.select(F.col("id").alias("target")), "target", "left_anti").select("target")
     drawn = links.join(heads, "target", "left_semi").join(chained.withColumnRenamed("id", "source"), "source", "left")
@@ -90,8 +90,13 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
 
     Breadth first for ``hops`` rounds, in which most graphs end; each joins the newest nodes only with the edges. What lies deeper is
     found by shortcuts: nodes with one link into them hang on their anchors by doubled pointers, and rounds go on only over nodes with
-    several. So a tree or chain of any depth takes about log2(depth) rounds more, and cycles end.
+    several. So a tree or chain of any depth takes about log2(depth) rounds more, and cycles end. Tables of rounds are deleted.
     """
+    with scratch(seeds.sparkSession) as kept:
+        return stored(_reach(edges, seeds, hops, kept))
+
+
+def _reach(edges: DataFrame, seeds: DataFrame, hops: int, stored: Callable) -> DataFrame:
     links = stored(edges.select("source", "target").dropna().distinct())
     found = frontier = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
     for depth in range(1, hops + 1):
@@ -100,8 +105,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
         if frontier.isEmpty():
             return found.withColumn("depth", F.col("depth").cast("int"))
         found = stored(found.union(frontier))
-    chained = _chained(links, found)
-    short = _shortcuts(links, chained, found, longest=False)
+    chained = _chained(links, found, stored)
+    short = _shortcuts(links, chained, found, longest=False, stored=stored)
     newest = found
     while True:
         step = short.join(newest.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min(F.col("depth") + F.col("weight")).alias("offered"))
@@ -118,6 +123,11 @@ def follow(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Each round doubles the length of all jumps and of the paths looked at, so log2(depth) rounds do; cycles end.
     """
+    with scratch(seeds.sparkSession) as kept:
+        return stored(_follow(links, seeds, kept))
+
+
+def _follow(links: DataFrame, seeds: DataFrame, stored: Callable) -> DataFrame:
     jumps = stored(links.select("source", "target").dropna().groupBy("source").agg(F.min("target").alias("target")))
     found = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
     known, length = found.count(), 1
@@ -189,6 +199,11 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> Dat
     Without ``rounds`` and without cycles, nodes with one link into them hang on their anchors by doubled pointers, and rounds go on
     only over nodes with several.
     """
+    with scratch(nodes.sparkSession) as kept:
+        return stored(_layers(edges, nodes, rounds, kept))
+
+
+def _layers(edges: DataFrame, nodes: DataFrame, rounds: int | None, stored: Callable) -> DataFrame:
     ids = stored(nodes.select("id"))
     if rounds is None:
         known = ids.distinct()
@@ -196,7 +211,7 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> Dat
         for end in ("source", "target"):
             links = links.join(known.withColumnRenamed("id", end), end, "left_semi")
         links = stored(links.select("source", "target"))
-        found = _layers_without_cycles(links, known)
+        found = _layers_without_cycles(links, known, stored)
         if found is not None:
             return ids.join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
     current = stored(ids.withColumn("layer", F.lit(0)))
@@ -209,11 +224,11 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> Dat
     return current
 
 
-def _layers_without_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _layers_without_cycles(links: DataFrame, nodes: DataFrame, stored: Callable) -> DataFrame | None:
     """``(id, layer)`` of nodes with links into them; None if there is a cycle."""
     none = nodes.limit(0)
-    chained = _chained(links, none)
-    short = _shortcuts(links, chained, none, longest=True)
+    chained = _chained(links, none, stored)
+    short = _shortcuts(links, chained, none, longest=True, stored=stored)
     into = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("several")).first()
     if chained.count() < into["single"]:
         return None
