@@ -112,7 +112,12 @@ def pivot(df: DataFrame, params: dict, context=None) -> DataFrame:
         raise OperationError(f"the pivot would have more than {most} columns")
     if both := [n for n in names if n in index]:
         raise OperationError(f"the pivot's column {both[0]!r} is an index column as well")
-    out = keyed.groupBy(*map(quoted, index)).pivot(made, names).agg(aggregate(value, func)) if names else df.select(*map(quoted, index)).distinct()
+    cell = aggregate(value, func)
+    if func == "median":  # of groups of any size; then there is one value in each cell
+        middle = fresh(keyed, "_median")
+        keyed = group_by(keyed, {"by": [*index, made], "aggregations": [{"column": value, "func": func, "alias": middle}]}, context)
+        cell = F.first(middle)
+    out = keyed.groupBy(*map(quoted, index)).pivot(made, names).agg(cell) if names else df.select(*map(quoted, index)).distinct()
     return out.withColumns({n: F.coalesce(F.col(quoted(n)), F.lit(0)) for n in names}) if func in ("count", "n_unique") and names else out
 
 

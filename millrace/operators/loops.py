@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
 from ..functions.types import common_type
-from .aggregates import aggregate
 from .base import apply, existing, listed, needed, quoted, register
 from .filters import OPERATORS, predicate
 from .joins import check_cross
@@ -123,8 +122,7 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
             elif kind == "select":
                 out = out.select(*map(quoted, existing(out, listed(needed(params, "columns")))), *carried)
             elif kind == "group_by":
-                made = [aggregate(a["column"], a.get("func") or "sum").alias(a.get("alias") or f"{a['column']}_{a.get('func') or 'sum'}") for a in needed(params, "aggregations")]
-                out = out.groupBy(*map(quoted, existing(out, listed(needed(params, "by")))), *carried).agg(*made)
+                out = apply(out, [{"type": kind, "params": {**params, "by": [*listed(needed(params, "by")), *carried]}}], context)
             elif kind == "unique":
                 out = out.dropDuplicates([*(listed(params["subset"]) if params.get("subset") else own), _PASS])
             elif kind == "drop_nulls":

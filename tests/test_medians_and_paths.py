@@ -74,3 +74,17 @@ def test_layers_with_a_cycle_take_plain_rounds(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5)], "source long, target long")
     got = {r["id"]: r["layer"] for r in graph.layers(edges, spark.range(1, 7)).collect()}
     assert got[1] == 0 and got[5] == 1 and got[6] == 0 and got[2] > 1
+
+
+def test_medians_in_pivots_and_loops(spark):
+    df = spark.range(900).selectExpr("id % 2 AS k", "CASE WHEN id % 3 < 2 THEN concat('c', id % 3) END AS h", "cast(id * 7 % 101 AS double) AS v", "id AS o")
+    pivot = [{"type": "pivot", "params": {"index": ["k"], "on": ["h"], "values": "v", "func": "median"}}]
+    plain, ranked = (apply(df, pivot, Context(spark, median_rows=n)) for n in (10**6, 50))
+    assert plain.columns == ranked.columns == ["k", "c0", "c1"] and sorted(plain.collect()) == sorted(ranked.collect()) and plain.count() == 2
+    picked = [{"column": "v", "func": "median", "alias": "m"}, {"column": "v", "func": "last", "alias": "l", "order_by": "o"}]
+    body = [{"type": "filter", "params": {"column": "k", "operator": "eq", "value": "{{x}}"}}, {"type": "group_by", "params": {"by": ["h"], "aggregations": picked}}]
+    loop = [{"type": "foreach", "params": {"items": [{"x": 0}, {"x": 1}], "body": body, "add_keys_as_columns": True}}]
+    want = df.groupBy("h", "k").agg(F.median("v").alias("m"), F.max_by("v", "o").alias("l")).select("h", "m", "l", "k").collect()
+    for n in (10**6, 50):
+        got = apply(df, loop, Context(spark, median_rows=n)).select("h", "m", "l", "x").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
