@@ -188,7 +188,11 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def seeds(spark: SparkSession, variants: int = 40) -> DataFrame:
-    """``(doc_id, text, good)``: made-up lines, so that every kind has examples however few a table holds."""
+    """``(doc_id, text, good, held)``: made-up lines, so that every kind has examples however few a table holds.
+
+    Lines that are ``held`` are worded otherwise than those the trees are fitted on: the thresholds are measured on them in odd
+    variants, and ``report`` in even ones.
+    """
     i = F.col("id")
     sha, b64 = F.sha1(i.cast("string")), F.base64(F.unhex(F.md5(i.cast("string"))))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -209,7 +213,19 @@ def seeds(spark: SparkSession, variants: int = 40) -> DataFrame:
         text("the key: ", pick("patience", "practice", "is", "to"), " learn"), text("chapter-", i, "-section-10000", i), text("file_2024_", i, "0000_final"), text("isbn 978-3-16-148", i + 100, "-0"), text("a/path/to/file", i, "0000000"),
         text("sold 3 @ 5.", i, " each"), text("in 2019 555 30", i + 10, " units"), text("auth: ", pick("required", "optional", "failed")), text("section 12345", i, "678 says"), text("ISO-8859-", i, "-2024-0001"),
     ]
-    lines = F.array(*(F.struct(t.alias("text"), F.lit(g).alias("good")) for part, g in ((good, 1.0), (bad, 0.0)) for t in part))
+    held_good = [
+        text("the login uses passwd = '", word, i * 31, "!' today"), text("Passwort: ", F.initcap(F.left(letters, F.lit(6))), i, "#x"), text("client secret: ", F.base64(F.unhex(F.sha1((i + 500).cast("string")))), " (old)"), text("auth=", F.md5((i + 500).cast("string")), ";"),
+        text("commit of ", F.sha1((i + 500).cast("string")), ", they said"), text("header: bearer ", F.left(F.base64(F.unhex(F.sha1((i + 900).cast("string")))), F.lit(22)), "x"), text("private_key => '", F.right(mixed, F.lit(20)), "'"),
+        text("reach ", F.left(letters, F.lit(6)), "(at)mail", i, "(dot)net today"), text("e-mail: ", F.left(letters, F.lit(5)), ".x @ post", i, ".de"), text("contact ", F.left(letters, F.lit(7)), "@site", i, " [dot] edu"),
+        text("mobile 017", F.pmod(i, F.lit(10)), " 555 0", i + 200), text("tel. 030-555-0", i + 300), text("my number (0", i + 30, ") 444.2", i + 100), text("account GB29 NWBK 6016 1331 92", i + 20, " 19"), text("social security 2", i + 30, "-61-", i + 4000),
+    ]
+    held_bad = [
+        text("released 2023-11-0", i % 9, " as build ", i * 7919 + 20000000), text("bought 2 @ 3.", i + 10, " euros"), text("rated @ 4.", i, ".1 of ten"), text("from 1998 300 4", i + 10, " people came"), text("since 2004-555-20", i + 10, " no change"),
+        text("sku ", i * 15485863 + 987654320, " in stock"), text("isbn 978316148", i + 1000, " again"), text("backup_2023_10_", i, "_full_copy"), text("mod_rewrite-", i, "-rules-2023000"), text("Wir sehen ", F.initcap(letters), "ung heute"), text("and ", F.left(letters, F.lit(10)), "-", F.right(letters, F.lit(9)), " too"),
+        text("password: ", pick("optional", "required", "forgotten", "missing")), text("token: ", pick("the", "see", "no", "an"), " next page"), text("secret: ", pick("never", "nobody", "always", "still"), " tell"), text("access key: ", pick("below", "above", "expired", "hidden")),
+    ]
+    parts = ((good, 1.0, False), (bad, 0.0, False), (held_good, 1.0, True), (held_bad, 0.0, True))
+    lines = F.array(*(F.struct(t.alias("text"), F.lit(g).alias("good"), F.lit(h).alias("held")) for part, g, h in parts for t in part))
     return spark.range(variants).select((-1 - i).alias("doc_id"), F.explode(lines).alias("x")).select("doc_id", "x.*")
 
 
@@ -243,7 +259,13 @@ def _tree(node) -> object:
     return int(node.split().featureIndex()), float(node.split().threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: int = 12, depth: int = 4) -> Judge:
+def planted(spark: SparkSession) -> DataFrame:
+    """``(announced, held, odd, known, kind, *FEATURES)`` of all candidates in the made-up lines; bounded."""
+    found = candidates(seeds(spark), ("good", "held")).select("doc_id", "good", "held", F.explode("loose").alias("c"))
+    return found.select(F.col("good").alias("announced"), "held", (F.pmod("doc_id", F.lit(2)) == 1).alias("odd"), "c.known", "c.kind", *(f"c.{f}" for f in FEATURES))
+
+
+def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: int = 12, depth: int = 4, prior: float = 20.0) -> Judge:
     """Boosted trees on the seeds and on at most ``sample`` candidates with evidence for and ``sample`` with evidence against.
 
     Nobody labels spans here. Evidence is what a candidate's own characters prove (a valid base span or check digits, a digest's
@@ -251,16 +273,17 @@ def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: i
     features. Candidates without evidence aren't learnt from. Seeds weigh a fifth of the whole.
 
     The thresholds are measured on all candidates with evidence but those the trees were fitted on, each class of a kind weighed
-    back to its count in the whole table: each kind gets the lowest threshold that reaches ``precision`` at the table's own
-    ratio, and takes nothing if there is none. A kind with fewer than five proven cases to measure on takes what the trees give
-    a probability of ``precision``.
+    back to its count in the whole table, and on made-up lines that are kept out of the fit. In a class of a kind of which the table
+    proves n cases these weigh ``prior * prior / (prior + n)`` cases, the less the more there are of the table's own. Each kind gets
+    the lowest threshold that reaches ``precision`` on both together with five cases' weight, and takes nothing if there is none.
+    No number of cases changes how a threshold is found.
     """
     spark = found.sparkSession
     every = found.select("doc_id", F.explode("loose").alias("c")).select("doc_id", "c.*").withColumn("order", F.xxhash64("doc_id", "kind", "start"))
     proven = every.filter("announced IS NOT NULL")
     sampled = stored(proven.filter("announced = 1").orderBy("order").limit(sample).unionByName(proven.filter("announced = 0").orderBy("order").limit(sample)), "privacy-sample")
-    given = candidates(seeds(spark), ("good",)).select(F.col("good").alias("announced"), F.explode("loose").alias("c")).select("announced", *(f"c.{f}" for f in FEATURES))
-    given = stored(given, "privacy-seeds").coalesce(1)
+    made_up = stored(planted(spark), "privacy-seeds").coalesce(1)
+    given = made_up.filter("NOT held")
     learn = sampled.filter("order % 2 = 0")
     weight = max(1.0, learn.count() / 4 / max(1, given.count()))
     both = learn.select("announced", *FEATURES, F.lit(1.0).alias("weight")).unionByName(given.select("announced", *FEATURES, F.lit(weight).alias("weight")))
@@ -271,26 +294,48 @@ def fit(found: DataFrame, sample: int = 20000, precision: float = 0.9, rounds: i
     unseen = (F.col("order") % 2 != 0) | (F.col("order") > F.when(F.col("announced") > 0, last.get(1.0, 2**63 - 1)).otherwise(last.get(0.0, 2**63 - 1)))
     is_good, n = F.col("announced") > 0, lambda c: F.count(F.when(c, 1))
     sums = {"good": n(is_good & unseen), "bad": n(~is_good & unseen), "all_good": n(is_good), "all_bad": n(~is_good)}
-    tested = proven.filter("NOT known") if "known" in proven.columns else proven
-    scored = tested.withColumn("margin", F.round(F.expr(judge.margin("")), 3)).groupBy("kind", "margin").agg(*(c.alias(k) for k, c in sums.items()))
-    by_kind: dict[str, list] = {k: [] for k in LOOSE}
-    for r in scored.collect():  # at most one row for each combination of leaves
-        by_kind[r["kind"]].append((r["margin"], *(r[k] for k in sums)))
-    for kind, levels in by_kind.items():
-        left_good, left_bad, all_good, all_bad = (sum(level[i] for level in levels) for i in range(1, 5))
-        if left_good < 5 or all_bad and not left_bad:
-            judge.thresholds[kind] = math.log(precision / (1 - precision)) / 2
-            continue
-        judge.thresholds[kind] = float("inf")
-        good = bad = 0
-        for margin, g, b, *_ in sorted(levels, reverse=True):
-            good, bad = good + g, bad + b
-            whole, wrong = good * all_good / left_good, bad * all_bad / max(left_bad, 1)
-            if good + bad >= 5 and whole >= precision * (whole + wrong) and margin > 0:
-                judge.thresholds[kind] = float(margin) - 5e-4
+    margin = F.round(F.expr(judge.margin("")), 3).alias("margin")
+    tested = (proven.filter("NOT known") if "known" in proven.columns else proven).select("kind", "order", "announced", margin).groupBy("kind", "margin").agg(*(c.alias(k) for k, c in sums.items()))
+    lines = made_up.filter("held AND odd AND NOT known").select("kind", "announced", margin).groupBy("kind", "margin").agg(n(is_good).alias("good"), n(~is_good).alias("bad"))
+    measured, made = ({k: [] for k in LOOSE} for _ in range(2))
+    for rows, levels in ((tested, measured), (lines, made)):
+        for r in rows.collect():  # at most one row for each combination of leaves
+            levels[r["kind"]].append((r["margin"], *(r[k] for k in rows.columns[2:])))
+    for kind in LOOSE:
+        seen_good, seen_bad, all_good, all_bad = (sum(level[i] for level in measured[kind]) for i in range(1, 5))
+        line_good, line_bad = (sum(level[i] for level in made[kind]) for i in (1, 2))
+        cases = [(m, g * all_good / max(seen_good, 1), b * all_bad / max(seen_bad, 1)) for m, g, b, *_ in measured[kind]]
+        line_good, line_bad = (prior * prior / (prior + n) / max(lines, 1) for n, lines in ((all_good, line_good), (all_bad, line_bad)))
+        cases += [(m, g * line_good, b * line_bad) for m, g, b in made[kind]]
+        judge.thresholds[kind] = lowest(cases, precision)
     return judge
 
 
+def lowest(cases: list[tuple[float, float, float]], precision: float, least: float = 5.0) -> float:
+    """The lowest positive margin from which on good cases are at least ``precision`` of all; infinite if there is none.
+
+    Fewer than ``least`` cases prove nothing. ``cases`` are ``(margin, weight of good ones, weight of bad ones)``; equal margins are one level.
+    """
+    at: dict[float, tuple[float, float]] = {}
+    for margin, good, bad in cases:
+        before = at.get(margin, (0.0, 0.0))
+        at[margin] = before[0] + good, before[1] + bad
+    limit, whole, wrong = float("inf"), 0.0, 0.0
+    for margin in sorted(at, reverse=True):
+        whole, wrong = whole + at[margin][0], wrong + at[margin][1]
+        if margin > 0 and whole + wrong >= least and whole >= precision * (whole + wrong):
+            limit = float(margin) - 5e-4
+    return limit
+
+
+def report(judge: Judge, spark: SparkSession) -> DataFrame:
+    """``(kind, n_good, n_bad, found, wrong, precision, recall)`` on made-up lines that neither trees nor thresholds have seen."""
+    lines = planted(spark).filter("held AND NOT odd AND NOT known").withColumn("taken", F.expr(judge.accepts().replace("c.", "")))
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    out = lines.groupBy("kind").agg(n("announced = 1").alias("n_good"), n("announced = 0").alias("n_bad"), n("taken AND announced = 1").alias("found"), n("taken AND announced = 0").alias("wrong"))
+    return out.withColumns({"precision": F.try_divide("found", F.col("found") + F.col("wrong")), "recall": F.try_divide("found", "n_good")})
+
+
 def chosen(judge: Judge) -> Column:
     """``array<struct<kind, start, end>>``: base spans and accepted candidates, which may overlap; of one within another the outer
     stays, of equal ones the first kind of ``LOOSE``. One sweep over sorted spans."""

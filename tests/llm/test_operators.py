@@ -256,6 +256,21 @@ def test_privacy_thresholds_hold_at_the_ratio_of_all_candidates(spark):
         assert privacy.fit(found, sample=size, rounds=3, precision=0.6).thresholds["secret"] < float("inf")
 
 
+def test_privacy_calibrates_every_kind_alike(spark):
+    """No kind has a fixed threshold, none is missing, and lines that the fit hasn't seen are mostly judged rightly, few or many rows."""
+    lowest = privacy.lowest
+    assert lowest([(2.0, 9, 0), (1.0, 0, 1), (0.5, 0, 5)], 0.9) == 1.0 - 5e-4
+    assert lowest([(2.0, 5, 1), (2.0, 4, 0), (1.0, 0, 1), (-1.0, 90, 0)], 0.9) == 2.0 - 5e-4
+    assert lowest([(2.0, 1, 5)], 0.9) == lowest([(3.0, 4, 0)], 0.9) == lowest([], 0.9) == lowest([(0.0, 5, 0), (-3.0, 5, 0)], 0.9) == float("inf")
+    for rows in ([], [(i, f"commit {i:040x} and release 2023-0{i % 9}-1{i % 7}") for i in range(30)]):
+        judge = privacy.fit(privacy.stored(privacy.candidates(frame(spark, rows)), "t"))
+        assert set(judge.thresholds) == set(privacy.LOOSE)
+        got = {r["kind"]: r for r in privacy.report(judge, spark).collect()}
+        assert set(got) == set(privacy.LOOSE) and all(r["n_good"] >= 20 and r["n_bad"] >= 20 for r in got.values())
+        assert sum(r["wrong"] for r in got.values()) <= 0.15 * sum(r["found"] for r in got.values())
+        assert sum(r["found"] for r in got.values()) >= 0.7 * sum(r["n_good"] for r in got.values())
+
+
 def test_toxicity(spark):
     import random
 
