@@ -1,7 +1,7 @@
 """The foreach operation: a body applied once for each item or row of a driver table, results appended.
 
 Where placeholders only stand for compared or filled-in values, the loop is one join with the driver table: its plan doesn't grow
-with the number of items. Otherwise each item is a branch of a union, of which there may be ``loop_limit``.
+with the number of items. Values compared by ``<`` or ``>`` at the head of a body are joined by bands of values. Otherwise each item is a branch of a union, of which there may be ``loop_limit``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
 from ..functions.types import common_type
+from .bands import band_join, orderable
 from .base import apply, existing, listed, needed, quoted, register
 from .filters import OPERATORS, predicate
 from .joins import check_cross
@@ -25,6 +26,7 @@ from .sets import relaxed
 #: Fixed value: how a placeholder is written.
 _PLACE = re.compile(r"\{\{\s*(.+?)\s*\}\}")
 _PASS = "_pass"
+_LOWER, _UPPER = ("gt", ">", "ge", ">="), ("lt", "<", "le", "<=")
 
 
 def places(value: Any) -> set[str]:
@@ -97,11 +99,67 @@ def joinable(body: list) -> bool:
     return True
 
 
+def _given(df: DataFrame, small: DataFrame, name: str, value: Column) -> tuple[Column, T.DataType]:
+    """A placeholder's value, and the type it is compared as: a text beside another type is read as that type; other types meet in
+    their common one, never in a narrower."""
+    own, given = df.schema[name].dataType, small.select(value.alias("v")).schema["v"].dataType
+    kind = own if isinstance(given, T.StringType) else common_type(own, given)
+    if isinstance(given, T.StringType) and not isinstance(own, T.StringType):
+        bad = small.select(value.alias("v"), value.try_cast(kind).alias("w")).filter("v IS NOT NULL AND w IS NULL").first()
+        if bad:
+            raise OperationError(f"{bad['v']!r} is no {kind.simpleString()}, which column {name!r} is compared as")
+    return value.try_cast(kind), kind
+
+
+def _ranges(df: DataFrame, small: DataFrame, body: list) -> tuple[str, T.DataType, list[Column], list[Column]] | None:
+    """What the filters at the head of a body ask of one column by placeholders: its name, a type its values can be compared as,
+    lower and upper bounds. A column with both comes before others. Bounds of several types meet in their common one, but for texts,
+    which have an order of their own."""
+    found: dict[str, tuple[T.DataType, list[Column], list[Column]]] = {}
+    for step in body:
+        if step["type"] != "filter":
+            break
+        params = step.get("params") or {}
+        name, operator, value = params["column"], params.get("operator") or "eq", _as_column(params.get("value"))
+        if isinstance(value, Column) and operator in (*_LOWER, *_UPPER):
+            value, kind = _given(df, small, name, value)
+            whole, lower, upper = found.get(name, (kind, [], []))
+            if orderable(value, kind) is None or kind != whole and T.StringType() in (kind, whole):
+                continue
+            (upper if operator in _UPPER else lower).append(value)
+            found[name] = (common_type(whole, kind), lower, upper)
+    best = max(found, key=lambda k: all(found[k][1:]), default=None)
+    if best is None:
+        return None
+    kind, lower, upper = found[best]
+    return best, kind, [v.cast(kind) for v in lower], [v.cast(kind) for v in upper]
+
+
+def _nested(df: DataFrame) -> bool:
+    """Does Spark's plan form all pairs of rows and items?"""
+    return bool(re.search("NestedLoopJoin|CartesianProduct", df._jdf.queryExecution().sparkPlan().toString()))
+
+
 def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
     keys = [f"_key_{c}" for c in driver.columns]
     small = driver.select(*(F.col(quoted(c)).alias(k) for c, k in zip(driver.columns, keys, strict=True))).withColumn(_PASS, F.monotonically_increasing_id())
-    carried = [_PASS, *keys]
-    out = df.crossJoin(small)
+    out = _applied(df.crossJoin(small), small, body, context)
+    if not _nested(out):
+        return out
+    # what Spark makes of it decides: without an equality that reaches the join, all pairs of rows and items would be formed
+    asked = _ranges(df, small, body)
+    both = asked is not None and all(asked[2:])
+    if not both:
+        check_cross(df, small, context.cross_join_limit)
+    if asked is None:
+        return out
+    banded = band_join(df, small, *asked, most_bands=4095 if both else 63, most_pairs=context.cross_join_limit if both else 0)
+    return _applied(banded, small, body, context)
+
+
+def _applied(out: DataFrame, small: DataFrame, body: list, context) -> DataFrame:
+    """The body's steps on rows that are joined with the items ``small``."""
+    carried = [_PASS, *(c for c in small.columns if c != _PASS)]
     for position, step in enumerate(body, 1):
         kind, params = step["type"], step.get("params") or {}
         own = [c for c in out.columns if c not in carried]
@@ -110,14 +168,7 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
                 (name,) = existing(out, [needed(params, "column")])
                 value = _as_column(params.get("value"))
                 if isinstance(value, Column) and (params.get("operator") or "eq") not in ("contains", "starts_with", "ends_with"):
-                    # a text beside another type is read as that type; other types meet in their common one, never in a narrower
-                    own, given = out.schema[name].dataType, out.select(value.alias("v")).schema["v"].dataType
-                    kind = own if isinstance(given, T.StringType) else common_type(own, given)
-                    if isinstance(given, T.StringType) and not isinstance(own, T.StringType):
-                        bad = small.select(value.alias("v"), value.try_cast(kind).alias("w")).filter("v IS NOT NULL AND w IS NULL").first()
-                        if bad:
-                            raise OperationError(f"{bad['v']!r} is no {kind.simpleString()}, which column {name!r} is compared as")
-                    value = value.try_cast(kind)
+                    value, _ = _given(out, small, name, value)
                 out = out.filter(predicate(out, name, params.get("operator") or "eq", value))
             elif kind == "select":
                 out = out.select(*map(quoted, existing(out, listed(needed(params, "columns")))), *carried)
@@ -133,9 +184,6 @@ def _joined(df: DataFrame, driver: DataFrame, body: list, context) -> DataFrame:
                 out = apply(out, [step], context)
         except OperationError as e:
             raise OperationError(f"in the loop's step {position}: {e.reason}") from e
-    # what Spark makes of it decides: without an equality that reaches the join, all pairs of rows and items are formed
-    if re.search("NestedLoopJoin|CartesianProduct", out._jdf.queryExecution().sparkPlan().toString()):
-        check_cross(df, small, context.cross_join_limit)
     return out
 
 
