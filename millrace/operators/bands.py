@@ -31,13 +31,14 @@ def band(value: Column, edges: list[Column]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(every, at + step - 1) <= value), at + step).otherwise(at))
 
 
-def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lower: list[Column], upper: list[Column], most_bands: int = 4095, most_pairs: int = 0) -> DataFrame:
+def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lower: list[Column], upper: list[Column], most_bands: int = 4095, most_pairs: int = 0, most_sent: int = 100_000) -> DataFrame:
     """All columns of both, in at least those pairs whose value of ``name`` lies from every ``lower`` to every ``upper`` bound.
 
     Bounds are columns of ``items`` of type ``kind``, in which values are compared; without upper (lower) bounds ranges are open.
     Null values and items with a null bound meet nothing; the same row or item twice is joined twice. At most ``most_bands`` bounds
     come to the driver as edges, chosen by hash. A value that many rows share makes one large band, which Spark splits when it
-    joins. With ``most_pairs`` above 0 the pairs are counted first, band by band, and more of them are refused.
+    joins. With ``most_pairs`` above 0 the pairs are counted first, band by band, and more of them are refused. Items that are more than
+    ``most_sent`` when repeated for their bands are merged with the rows, never broadcast.
     """
     low, high, at = fresh(df, "_low"), fresh(df, "_high"), fresh(df, "_band")
     key = orderable(F.col(quoted(name)).cast(kind), kind)
@@ -67,4 +68,5 @@ def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lowe
         pairs = a.join(b, at).agg(F.sum(F.col("a").cast("decimal(38,0)") * F.col("b"))).first()[0]
         if (pairs or 0) > most_pairs:
             raise OperationError(f"the loop would pair rows and items {pairs} times, more than {most_pairs}")
-    return placed.join(touched, at).drop(at)
+    # an item in many bands is more than Spark makes of the items' files: only few are left to be sent to all tasks
+    return placed.join(touched if touched.limit(most_sent + 1).count() <= most_sent else touched.hint("merge"), at).drop(at)

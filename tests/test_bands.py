@@ -70,3 +70,19 @@ def test_bands_bounds_and_limits(spark):
         looped(df, items, steps, cross_join_limit=100)
     assert looped(df, items, steps, cross_join_limit=20_000).count() == len(expected)  # 909 000 pairs in a nested loop
     assert looped(df.limit(0), items, steps).count() == looped(df, items.limit(0), steps).count() == 0
+
+
+def test_many_items_are_merged_and_equal_ones_done_once(spark):
+    df = spark.range(400).selectExpr("id", "id % 40 AS v", "id % 2 AS k")
+    made = [(i, -0.0 if i % 200 == 3 else float(i % 40), i % 40 + 3.0) for i in range(2000)] + [(9000, None, 3.0)]
+    items = spark.createDataFrame(made, "i int, lo double, hi double")
+    steps = [*body(ge="lo", lt="hi"), {"type": "group_by", "params": {"by": ["k"], "aggregations": [{"column": "id", "func": "count", "alias": "n"}]}}]
+    out = looped(df, items, steps)
+    assert out.columns == ["k", "i", "lo", "hi", "n"] and out.schema["lo"].dataType.simpleString() == "double"
+    want = sorted((k, i, str(lo), hi, n) for i, lo, hi in made if lo is not None for k in (0, 1) if (n := sum(lo <= x % 40 < hi and x % 2 == k for x in range(400))))
+    assert sorted((r["k"], r["i"], str(r["lo"]), r["hi"], r["n"]) for r in out.collect()) == want
+    assert "SortMergeJoin [_pass" in out._jdf.queryExecution().sparkPlan().toString()
+    bands = spark.range(3000).selectExpr("id AS i", "cast(id AS double) AS lo", "cast(id + 200 AS double) AS hi")  # some 600 000 when repeated
+    wide = looped(df, bands, body(ge="lo", lt="hi"))
+    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().sparkPlan().toString() and not _nested(wide)
+    assert wide.count() == sum(sum(i <= x % 40 < i + 200 for x in range(400)) for i in range(40))
