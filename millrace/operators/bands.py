@@ -28,7 +28,13 @@ def band(value: Column, edges: list[Column]) -> Column:
         return F.lit(0)
     steps = [1 << i for i in reversed(range(len(edges).bit_length()))]
     every = F.array(*edges)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(every, at + step - 1) <= value), at + step).otherwise(at))
+
+    def further(found: Column, step: Column) -> Column:
+        at = found["at"] + step
+        return F.struct(F.when((at <= len(edges)) & (F.get(every, at - 1) <= found["v"]), at).otherwise(found["at"]).alias("at"), found["v"].alias("v"))
+
+    # the value goes along in the state: columns named only inside a lambda are lost to Spark when it infers filters across the join
+    return F.aggregate(F.array(*map(F.lit, steps)), F.struct(F.lit(0).alias("at"), value.alias("v")), further, lambda found: found["at"])
 
 
 def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lower: list[Column], upper: list[Column], most_bands: int = 4095, most_pairs: int = 0, most_sent: int = 100_000) -> DataFrame:
@@ -38,7 +44,7 @@ def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lowe
     Null values and items with a null bound meet nothing; the same row or item twice is joined twice. At most ``most_bands`` bounds
     come to the driver as edges, chosen by hash. A value that many rows share makes one large band, which Spark splits when it
     joins. With ``most_pairs`` above 0 the pairs are counted first, band by band, and more of them are refused. Items that are more than
-    ``most_sent`` when repeated for their bands are merged with the rows, never broadcast.
+    ``most_sent`` when repeated for their bands are merged with the rows, never broadcast; at most 10 000 are always sent to all tasks.
     """
     low, high, at = fresh(df, "_low"), fresh(df, "_high"), fresh(df, "_band")
     key = orderable(F.col(quoted(name)).cast(kind), kind)
@@ -69,4 +75,5 @@ def band_join(df: DataFrame, items: DataFrame, name: str, kind: T.DataType, lowe
         if (pairs or 0) > most_pairs:
             raise OperationError(f"the loop would pair rows and items {pairs} times, more than {most_pairs}")
     # an item in many bands is more than Spark makes of the items' files: only few are left to be sent to all tasks
-    return placed.join(touched if touched.limit(most_sent + 1).count() <= most_sent else touched.hint("merge"), at).drop(at)
+    n = touched.limit(most_sent + 1).count()
+    return placed.join(touched.hint("broadcast") if n <= 10_000 else touched if n <= most_sent else touched.hint("merge"), at).drop(at)

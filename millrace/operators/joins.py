@@ -11,6 +11,8 @@ from ..functions.errors import OperationError
 from .base import existing, listed, needed, quoted, register
 
 KINDS = ("inner", "left", "right", "full", "semi", "anti", "cross")
+#: The most rows of a cross join if the context gives no limit.
+CROSSED = 50_000_000
 
 
 def check_cross(left: DataFrame, right: DataFrame, most: int) -> None:
@@ -66,7 +68,7 @@ def join(df: DataFrame, params: dict, context=None) -> DataFrame:
     if hint := params.get("hint"):
         right = right.hint(hint)
     if how == "cross":
-        check_cross(df, right, context.cross_join_limit)
+        check_cross(df, right, CROSSED if context.cross_join_limit is None else context.cross_join_limit)
         taken, names = set(df.columns), []
         for c in right.columns:
             names.append(suffixed(f"{c}_right", taken | set(right.columns)) if c in taken else c)

@@ -86,3 +86,17 @@ def test_many_items_are_merged_and_equal_ones_done_once(spark):
     wide = looped(df, bands, body(ge="lo", lt="hi"))
     assert "BroadcastHashJoin" not in wide._jdf.queryExecution().sparkPlan().toString() and not _nested(wide)
     assert wide.count() == sum(sum(i <= x % 40 < i + 200 for x in range(400)) for i in range(40))
+
+
+def test_few_passes_over_many_rows_are_no_cross_join(spark):
+    df = spark.range(17_000_000).withColumnRenamed("id", "v")
+    items = [{"q": 16_999_990}, {"q": 16_999_995}, {"q": 20_000_000}]
+    late = [{"type": "rename", "params": {"mapping": {"v": "w"}}}, {"type": "filter", "params": {"column": "w", "operator": "ge", "value": "{{q}}"}}]
+    for steps in (body(ge="q"), late, [*body(ge="q"), {"type": "filter", "params": {"column": "v", "operator": "lt", "value": 16_999_999}}]):
+        got = apply(df, [{"type": "foreach", "params": {"items": items, "body": steps}}], Context(spark)).count()
+        assert got == (13 if len(steps) == 2 and steps is not late else 15)
+    whole = apply(df.withColumn("w", df["v"] + 1), [{"type": "foreach", "params": {"items": items, "body": body(gt="q")}}], Context(spark))
+    whole.write.format("noop").mode("overwrite").save()  # both columns read
+    assert whole.agg({"w": "max"}).first()[0] == 17_000_000
+    with pytest.raises(OperationError, match="cross join"):
+        looped(df, spark.range(1001).withColumnRenamed("id", "q"), body(ge="q"))
