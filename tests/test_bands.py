@@ -100,3 +100,12 @@ def test_few_passes_over_many_rows_are_no_cross_join(spark):
     assert whole.agg({"w": "max"}).first()[0] == 17_000_000
     with pytest.raises(OperationError, match="cross join"):
         looped(df, spark.range(1001).withColumnRenamed("id", "q"), body(ge="q"))
+
+
+def test_a_list_of_items_goes_to_the_rows(spark):
+    df = spark.range(100).selectExpr("id", "id % 2 AS k", "id AS v")
+    steps = [*body(lt="q"), {"type": "filter", "params": {"column": "k", "value": "{{f}}"}}, {"type": "group_by", "params": {"by": ["k"], "aggregations": [{"column": "id", "func": "count", "alias": "n"}]}}]
+    out = apply(df, [{"type": "foreach", "params": {"items": [{"q": 10, "f": 0}, {"q": 20, "f": 1}], "body": steps, "add_keys_as_columns": True}}], Context(spark))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r["k"], r["n"], r["q"], r["f"]) for r in out.collect()) == [(0, 5, 10, 0), (1, 10, 20, 1)]
