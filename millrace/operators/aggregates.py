@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.errors import OperationError
+from ..functions.storage import stored
 from ..functions.types import common_type
 from .base import existing, fresh, listed, needed, quoted, register
 
@@ -43,13 +44,14 @@ def ranked_medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFram
 
     A sketch of fixed size per group gives two values with the median between them: its ranks are at most 1e-4 of the rows wrong, the
     values lie 4e-4 to each side. Then each group's rows are counted before the shuffle: one count for those below, one for those
-    above, and one for each value between. Only these few are sorted, to find the values at the middle ranks.
+    above, and one for each value between. Only these few are sorted, to find the values at the middle ranks. The bounds are stored.
     """
     keys = [f"k{i}" for i in range(len(by))]
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col(quoted(c)).cast("double") + 0.0).alias("v")) for i, c in enumerate(columns)))).alias("e")
     rows = df.select(*(F.col(quoted(c)).alias(k) for c, k in zip(by, keys, strict=True)), values).select(*keys, "e.i", "e.v").filter("v IS NOT NULL")
     group, endless = [*keys, "i"], F.lit(float("inf"))  # NaN comes after it and is in no sketch
     around = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.when(F.isnan("v"), endless).otherwise(F.col("v")), [0.4996, 0.5004], 10_000).alias("b"))
+    around = stored(around)  # so that Spark knows how few groups there are, and doesn't move all rows to them
     sides = around.select(*(F.col(k).alias(f"{k}_") for k in group), "n", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
     met = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in group))
     side = F.when(F.col("v") < F.col("low"), -1).when((F.col("v") > F.col("high")) & (F.col("high") < endless), 1).otherwise(0)

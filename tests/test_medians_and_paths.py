@@ -88,3 +88,10 @@ def test_medians_in_pivots_and_loops(spark):
     for n in (10**6, 50):
         got = apply(df, loop, Context(spark, median_rows=n)).select("h", "m", "l", "x").collect()
         assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_rows_of_a_hot_group_stay_where_they_are(spark):
+    df = spark.range(5000).selectExpr("IF(id % 3 > 0, 'hot', 'cold') AS k", "id AS v")
+    out = apply(df, [{"type": "group_by", "params": {"by": ["k"], "aggregations": [{"column": "v", "func": "median", "alias": "m"}]}}], Context(spark, median_rows=10))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin [coalesce(k0" not in plan and sorted(map(tuple, out.collect())) == [("cold", 2499.0), ("hot", 2500.0)]
