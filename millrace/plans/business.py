@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.storage import stored
 from ..functions.types import common_type
@@ -26,12 +27,15 @@ def valid_at(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str
     return met.select(*facts.columns, *(F.col(f"_r_{c}").alias(c) for c in ranges.columns if c != key))
 
 
-def as_of(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "valid_from", end: str | None = None, slice_rows: int = 1_000_000) -> DataFrame:
+def as_of(
+    facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "valid_from", end: str | None = None, slice_rows: int = 1_000_000, sizes: DataFrame | None = None
+) -> DataFrame:
     """Facts with the row of ``ranges`` that began last before or at their time; with ``end``, only if that one isn't over by then.
 
     A merge: facts and ranges in one table, sorted by key and time, the last range carried forward. A key of more than
     ``slice_rows`` rows is cut into slices of time at its quantiles, each sorted by itself; the last range of the slices before
-    is passed on to it (one row for each slice). Work is linear in facts and ranges, however many of them a key has.
+    is passed on to it (one row for each slice). Work is linear in facts and ranges, however many of them a key has. ``sizes`` is a
+    table with at least as many rows of each key as the facts, if there is one that is cheaper to count.
 
     Facts with a null key or time, or before the first range, stay, with nulls. Ranges with a null key or start are never met. Of ranges that
     begin at the same time the greatest row counts. Repeated facts stay.
@@ -39,13 +43,18 @@ def as_of(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "
     kept = [c for c in ranges.columns if c != key]
     when = common_type(facts.schema[at].dataType, ranges.schema[start].dataType)
     name = lambda c: F.col(quoted(c))
-    fact, row = F.struct(*map(name, facts.columns)).alias("fact"), F.struct(*map(name, kept)).alias("row")
-    known = name(key).isNotNull() & name(at).isNotNull()
-    no_fact, no_row = (F.lit(None).cast(df.select(x).schema[0].dataType) for df, x in ((facts, fact), (ranges, row)))
-    rows = facts.filter(known).select(name(key).alias("key"), name(at).cast(when).alias("time"), fact, no_row.alias("row"))
-    rows = rows.unionByName(ranges.filter(name(key).isNotNull() & name(start).isNotNull()).select(name(key).alias("key"), name(start).cast(when).alias("time"), no_fact.alias("fact"), row))
+    # facts' columns stay columns, so that those nobody reads aren't shuffled
+    alike = facts.schema[key].dataType == ranges.schema[key].dataType
+    own = {c: f"f{i}" for i, c in enumerate(facts.columns) if not (alike and c == key)}
+    row = F.struct(*map(name, kept)).alias("row")
+    met_by = ranges.filter(name(key).isNotNull() & name(start).isNotNull())
+    no_row = F.lit(None).cast(ranges.select(row).schema[0].dataType).alias("row")
+    rows = facts.select(name(key).alias("key"), name(at).cast(when).alias("time"), F.lit(True).alias("fact"), no_row, *(name(c).alias(f) for c, f in own.items()))
+    rows = rows.unionByName(met_by.select(
+        name(key).alias("key"), name(start).cast(when).alias("time"), F.lit(False).alias("fact"), row, *(F.lit(None).cast(facts.schema[c].dataType).alias(f) for c, f in own.items())))
     # counts and quantiles are summed up before the shuffle; only keys beyond slice_rows are left, one row each
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows)
+    counted = rows if sizes is None else sizes.select(name(key).alias("key")).union(met_by.select(name(key)))
+    counts = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows)
     if counts.isEmpty():
         placed, before = rows.withColumn("slice", F.lit(0)), None
     else:
@@ -54,20 +63,33 @@ def as_of(facts: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "
         cuts = stored(rows.join(large, "key").groupBy("key").agg(thousandths.alias("all"), F.first("parts").alias("parts")))
         # as many of the thousandths as the key needs slices, evenly
         cuts = cuts.select("key", F.expr("array_distinct(transform(sequence(1, parts - 1), i -> all[cast(i * 1000 / parts as int) - 1]))").alias("cuts"))
-        placed = rows.join(cuts, "key", "left").withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("time"))), F.lit(0))).drop("cuts")
+        plain = [f for c, f in own.items() if isinstance(facts.schema[c].dataType, T.AtomicType)]
+        spread = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("time", *plain), F.lit(1000)).cast("int"))  # they meet nothing, so any slice does
+        placed = rows.join(cuts, "key", "left").withColumn("slice", F.coalesce(spread, _cuts_before("cuts", "time"), F.lit(0))).drop("cuts")
         last = placed.join(cuts.select("key"), "key", "left_semi").groupBy("key", "slice").agg(F.max(F.when(F.col("row").isNotNull(), F.struct("time", "row"))).alias("last"))
         carried = F.last("last", ignorenulls=True).over(W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
         before = stored(last.select("key", "slice", carried["row"].alias("carried")))
-    order = W.partitionBy("key", "slice").orderBy("time", F.col("fact").isNotNull(), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = placed.withColumn("met", F.last("row", ignorenulls=True).over(order)).filter(F.col("fact").isNotNull())
+    order = W.partitionBy("key", "slice").orderBy("time", "fact", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = placed.withColumn("met", F.last("row", ignorenulls=True).over(order)).filter("fact")
     if before is not None:
         found = found.join(before, ["key", "slice"], "left").withColumn("met", F.coalesce("met", "carried"))
-    if end is not None:
-        over = F.col("met").getField(end) < F.col("time")
-        found = found.withColumn("met", F.when(over, None).otherwise(F.col("met")))
-    merged = found.select(*(F.col("fact").getField(c).alias(c) for c in facts.columns), *(F.col("met").getField(c).alias(c) for c in kept))
-    nulls = [F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in kept]
-    return merged.union(facts.filter(~known).select(*map(name, facts.columns), *nulls))
+    # facts without a time are sorted first, but where a slice passes a range on they'd have it too
+    valid = F.col("time").isNotNull() if end is None else F.col("time").isNotNull() & F.coalesce(F.col("met").getField(end) >= F.col("time"), F.lit(True))
+    found = found.withColumn("met", F.when(valid, F.col("met")))
+    return found.select(*(F.col(own.get(c, "key")).alias(c) for c in facts.columns), *(F.col("met").getField(c).alias(c) for c in kept))
+
+
+def _cuts_before(cuts: str, time: str) -> Column:
+    """How many of at most 1023 sorted cuts are less than the time, by binary search; null if one of both is."""
+    def further(found: Column, step: Column) -> Column:
+        at = found["at"] + step
+        less = (at <= F.size(found["cuts"])) & (F.get(found["cuts"], at - 1) < found["time"])
+        return F.struct(F.when(less, at).otherwise(found["at"]).alias("at"), found["cuts"].alias("cuts"), found["time"].alias("time"))
+
+    # the state holds what is compared: columns named only inside a lambda are lost to Spark when it infers filters across joins
+    state = F.struct(F.lit(0).alias("at"), F.col(cuts).alias("cuts"), F.col(time).alias("time"))
+    searched = F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(10)))), state, further, lambda found: found["at"])
+    return F.when(F.col(cuts).isNotNull() & F.col(time).isNotNull(), searched)
 
 
 def line_margin(lines: DataFrame, quantity: Column, price: Column, discount: Column, unit_cost: Column, line_cost: Column) -> DataFrame:

@@ -27,3 +27,12 @@ def test_as_of(spark):
     assert as_of(left.limit(0), right, "k.1", "time", "since").count() == 0 and as_of(left, right.limit(0), "k.1", "time", "since").filter("row IS NULL").count() == len(facts)
     one = valid_at(left.withColumnRenamed("k.1", "k"), right.withColumnRenamed("k.1", "k"), "k", "time", "since", None)
     assert sorted(((r["id"], r["row"]) for r in one.collect()), key=repr) == want(None)
+
+
+def test_columns_nobody_reads_are_not_shuffled_and_null_keys_are_spread(spark):
+    facts = spark.range(600).selectExpr("id", "IF(id % 2 = 0, NULL, 'a') AS k", "id AS time", "concat('unread', id) AS more")
+    ranges = spark.range(0, 600, 10).selectExpr("'a' AS k", "id AS since", "id AS row")
+    for rows in (10**6, 50):
+        out = as_of(facts, ranges, "k", "time", "since", slice_rows=rows).select("id", "row")
+        assert "unread" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == [(i, i // 10 * 10 if i % 2 else None) for i in range(600)]
