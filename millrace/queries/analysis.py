@@ -225,7 +225,9 @@ def costs(s: SparkSession, d: str) -> DataFrame:
 def margins(s: SparkSession, d: str) -> DataFrame:
     parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority")
-    lines = business.valid_at(table(s, d, "lineitem").join(parts, "l_partkey").join(orders, "l_orderkey"), costs(s, d), "l_partkey", "o_orderdate", end=None)
+    lines = table(s, d, "lineitem")
+    # each line has one order, so lines can be counted instead; parts come last, when lines are dealt by part already
+    lines = business.as_of(lines.join(orders, "l_orderkey"), costs(s, d), "l_partkey", "o_orderdate", sizes=lines).join(parts, "l_partkey")
     money = lambda c: F.round(c, 4).cast(_MONEY)
     price = F.col("l_extendedprice") / F.col("l_quantity")
     out = business.line_margin(lines, F.col("l_quantity"), price, F.col("l_discount"), F.coalesce("unit_cost", F.lit(0.0)), F.col("l_extendedprice") * F.col("l_tax"))
