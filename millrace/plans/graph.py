@@ -58,18 +58,24 @@ def directly_stale(edges: DataFrame, refreshed: DataFrame, succeeded: DataFrame)
     return read.join(succeeded.select(F.col("id").alias("target"), F.col("at").alias("succeeded_at")), "target").filter("refreshed_at > succeeded_at").select(F.col("target").alias("id")).distinct()
 
 
+def _merged(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table, to be joined by merging if it has many rows: files of paths are so small that Spark would send all of them to the driver."""
+    return df if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def _chained(links: DataFrame, stops: DataFrame, stored: Callable) -> DataFrame:
     """``(id, anchor, offset)`` for nodes with exactly one link into them that aren't stops: the nearest node before them that is a
     stop or has none or several links into it, and how far it is.
 
     Pointers double in each round, so a path of n nodes takes about log2(n) rounds. Nodes that no anchor leads to (cycles) are left out.
     """
-    into = links.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("anchor"))
-    single = into.filter("n = 1").join(stops.select("id"), "id", "left_anti").select("id", "anchor", F.lit(1).cast("long").alias("offset"), F.lit(False).alias("ended"))
+    weight = F.max("weight") if "weight" in links.columns else F.lit(1)
+    into = links.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("anchor"), weight.cast("long").alias("offset"))
+    single = into.filter("n = 1").join(_merged(stops.select("id")), "id", "left_anti").select("id", "anchor", "offset", F.lit(False).alias("ended"))
     pointers = stored(single)
     for _ in range(pointers.count().bit_length() + 1):
         further = pointers.select(F.col("id").alias("anchor"), F.col("anchor").alias("next"), F.col("offset").alias("more"))
-        moved = pointers.filter("NOT ended").join(further, "anchor", "left").select(
+        moved = pointers.filter("NOT ended").join(_merged(further), "anchor", "left").select(
             "id", F.coalesce("next", "anchor").alias("anchor"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("next").isNull().alias("ended"))
         pointers = stored(moved.union(pointers.filter("ended")))
         if pointers.filter("NOT ended").isEmpty():
@@ -79,9 +85,9 @@ def _chained(links: DataFrame, stops: DataFrame, stored: Callable) -> DataFrame:
 
 def _shortcuts(links: DataFrame, chained: DataFrame, stops: DataFrame, longest: bool, stored: Callable) -> DataFrame:
     """``(source, target, weight)``: links into nodes with several of them, drawn from the anchors of their sources."""
-    heads = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(stops.select(F.col("id").alias("target")), "target", "left_anti").select("target")
-    drawn = links.join(heads, "target", "left_semi").join(chained.withColumnRenamed("id", "source"), "source", "left")
-    weight = F.coalesce("offset", F.lit(0)) + 1
+    heads = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(_merged(stops.select(F.col("id").alias("target"))), "target", "left_anti").select("target")
+    drawn = links.join(heads, "target", "left_semi").join(_merged(chained.withColumnRenamed("id", "source")), "source", "left")
+    weight = F.coalesce("offset", F.lit(0)) + (F.col("weight") if "weight" in links.columns else 1)
     return stored(drawn.groupBy(F.coalesce("anchor", "source").alias("source"), "target").agg((F.max(weight) if longest else F.min(weight)).alias("weight")))
 
 
@@ -101,7 +107,7 @@ def _reach(edges: DataFrame, seeds: DataFrame, hops: int, stored: Callable) -> D
     found = frontier = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
     for depth in range(1, hops + 1):
         step = links.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = stored(step.join(_merged(found), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             return found.withColumn("depth", F.col("depth").cast("int"))
         found = stored(found.union(frontier))
@@ -110,11 +116,11 @@ def _reach(edges: DataFrame, seeds: DataFrame, hops: int, stored: Callable) -> D
     newest = found
     while True:
         step = short.join(newest.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min(F.col("depth") + F.col("weight")).alias("offered"))
-        newest = stored(step.join(found, "id", "left").filter("depth IS NULL OR offered < depth").select("id", F.col("offered").alias("depth")))
+        newest = stored(step.join(_merged(found), "id", "left").filter("depth IS NULL OR offered < depth").select("id", F.col("offered").alias("depth")))
         if newest.isEmpty():
             break
         found = stored(found.union(newest).groupBy("id").agg(F.min("depth").alias("depth")))
-    hung = chained.join(found.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("depth") + F.col("offset")).alias("depth"))
+    hung = _merged(chained).join(found.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("depth") + F.col("offset")).alias("depth"))
     return found.union(hung).withColumn("depth", F.col("depth").cast("int"))
 
 
@@ -132,7 +138,8 @@ def _follow(links: DataFrame, seeds: DataFrame, stored: Callable) -> DataFrame:
     found = stored(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0).cast("long")))
     known, length = found.count(), 1
     while True:
-        jumped = jumps.join(found.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (F.col("depth") + length).alias("depth"))
+        jumps = _merged(jumps)
+        jumped = jumps.join(_merged(found.withColumnRenamed("id", "source")), "source").select(F.col("target").alias("id"), (F.col("depth") + length).alias("depth"))
         found = stored(found.union(jumped).groupBy("id").agg(F.min("depth").alias("depth")))
         grown = found.count()
         if grown == known:
@@ -209,11 +216,11 @@ def _layers(edges: DataFrame, nodes: DataFrame, rounds: int | None, stored: Call
         known = ids.distinct()
         links = edges.select("source", "target").dropna().distinct()
         for end in ("source", "target"):
-            links = links.join(known.withColumnRenamed("id", end), end, "left_semi")
+            links = links.join(_merged(known.withColumnRenamed("id", end)), end, "left_semi")
         links = stored(links.select("source", "target"))
         found = _layers_without_cycles(links, known, stored)
         if found is not None:
-            return ids.join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
+            return _merged(ids).join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
     current = stored(ids.withColumn("layer", F.lit(0)))
     for _ in range(current.count() if rounds is None else rounds):
         offered = edges.join(current.select(F.col("id").alias("source"), "layer"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("offered"))
@@ -225,20 +232,40 @@ def _layers(edges: DataFrame, nodes: DataFrame, rounds: int | None, stored: Call
 
 
 def _layers_without_cycles(links: DataFrame, nodes: DataFrame, stored: Callable) -> DataFrame | None:
-    """``(id, layer)`` of nodes with links into them; None if there is a cycle."""
-    none = nodes.limit(0)
-    chained = _chained(links, none, stored)
-    short = _shortcuts(links, chained, none, longest=True, stored=stored)
-    into = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("several")).first()
-    if chained.count() < into["single"]:
-        return None
-    anchors = short.select(F.col("source").alias("id")).union(short.select("target")).union(chained.select("anchor")).distinct()
-    current, newest = stored(anchors.withColumn("layer", F.lit(0).cast("long"))), None
-    for _ in range(into["several"] + 1):
-        offered = short.join((current if newest is None else newest).withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max(F.col("layer") + F.col("weight")).alias("offered"))
-        newest = stored(offered.join(current, "id").filter("offered > layer").select("id", F.col("offered").alias("layer")))
+    """``(id, layer)`` of nodes with links into them; None if there is a cycle.
+
+    Nodes with one link into them are hung on their anchors and left out. Of several links from one anchor to a node the longest stays,
+    so there may be nodes with one link again: this is repeated as long as it takes out a tenth of the nodes, then rounds do the rest.
+    """
+    none, hung, before = nodes.limit(0), [], None
+    while True:
+        into = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("several")).first()
+        if into["single"] == 0 or before is not None and into["single"] + into["several"] > 0.9 * before and into["several"] > 0:
+            break
+        chained = _chained(links, none, stored)
+        if chained.count() < into["single"]:
+            return None
+        hung.append(stored(chained))
+        before = into["single"] + into["several"]
+        links = _shortcuts(links, chained, none, longest=True, stored=stored)
+        if into["several"] == 0:
+            break
+    if "weight" not in links.columns:
+        links = links.withColumn("weight", F.lit(1).cast("long"))
+    ends = links.select(F.col("source").alias("id")).union(links.select("target"))
+    for chained in hung:
+        ends = ends.union(chained.select("anchor"))
+    ends = ends.distinct()
+    for chained in hung:
+        ends = ends.join(_merged(chained.select("id")), "id", "left_anti")
+    current, newest = stored(ends.withColumn("layer", F.lit(0).cast("long"))), None
+    for _ in range(into["several"] + into["single"] + 2):
+        offered = links.join((current if newest is None else newest).withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max(F.col("layer") + F.col("weight")).alias("offered"))
+        newest = stored(offered.join(_merged(current), "id").filter("offered > layer").select("id", F.col("offered").alias("layer")))
         if newest.isEmpty():
-            hung = chained.join(current.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("layer") + F.col("offset")).alias("layer"))
-            return current.union(hung)
+            for chained in reversed(hung):
+                on = _merged(chained).join(current.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("layer") + F.col("offset")).alias("layer"))
+                current = stored(current.union(on))
+            return current
         current = stored(current.union(newest).groupBy("id").agg(F.max("layer").alias("layer")))
     return None

@@ -95,3 +95,17 @@ def test_rows_of_a_hot_group_stay_where_they_are(spark):
     out = apply(df, [{"type": "group_by", "params": {"by": ["k"], "aggregations": [{"column": "v", "func": "median", "alias": "m"}]}}], Context(spark, median_rows=10))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin [coalesce(k0" not in plan and sorted(map(tuple, out.collect())) == [("cold", 2499.0), ("hot", 2500.0)]
+
+
+def test_layers_of_a_path_with_many_links_beside_it(spark, monkeypatch):
+    n, rounds, plain = 1200, [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, folder=None: rounds.append(folder) or plain(df, folder))
+    links = [(i, i + 1) for i in range(n)] + [(i, i + 7) for i in range(0, n - 7, 20)]
+    got = graph.layers(spark.createDataFrame(links, "source long, target long"), spark.range(n + 1)).collect()
+    assert {r["id"]: r["layer"] for r in got} == {i: i for i in range(n + 1)} and len(rounds) < 50  # 60 nodes one after the other have two links
+
+
+def test_many_nodes_are_merged(spark):
+    merged, few = graph._merged(spark.range(200), most=100), graph._merged(spark.range(50), most=100)
+    plans = [spark.range(300).join(t, "id")._jdf.queryExecution().sparkPlan().toString() for t in (merged, few)]
+    assert "SortMergeJoin" in plans[0] and "Broadcast" in plans[1]
